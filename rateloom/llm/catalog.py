@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from rateloom.llm import decontam, mixing, sharding, simhash
+from rateloom.llm import decontam, mixing, quality, sharding, simhash, token_files
 
 QUERIES = {
+    "op1_quality_outliers": quality.op1_quality_outliers,
     "op2_mixing": mixing.op2_mixing,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,
     "op7_simhash": simhash.op7_simhash,
+    "op8_token_records": token_files.op8_token_records,
 }
 
 ORACLE_SQL = {
