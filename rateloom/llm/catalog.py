@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from rateloom.llm import decontam, mixing, quality, sharding, simhash, token_files
+from rateloom.llm import decontam, langid, mixing, quality, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_quality_outliers": quality.op1_quality_outliers,
     "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,
     "op7_simhash": simhash.op7_simhash,
     "op8_token_records": token_files.op8_token_records,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLE_SQL = {
