@@ -143,16 +143,20 @@ def hit_spans(text: str | None, hits: list[int]) -> list[tuple[int, int]]:
 
 def is_contaminated(documents: DataFrame, benchmark: DataFrame, into: str, *, text: str = "text", window: int = WINDOW, max_chunk_words: int = MAX_CHUNK_WORDS) -> DataFrame:
     """The documents with a boolean column more: whether any window of the benchmark occurs."""
-    flag = F.lit(False)
-    for rows in chunks(benchmark, "item_id", "text", max_chunk_words):
-        scan = scanner(rows, window)
+    out = documents.withColumn(into, F.lit(False))
+    for k, rows in enumerate(chunks(benchmark, "item_id", "text", max_chunk_words)):
+        if k:
+            out = materialize(out, "decontam")  # one automaton in a worker at a time
+        out = out.withColumn(into, F.col(into) | hit_udf(scanner(rows, window))(F.col(text)))
+    return out
+
 
-        @F.pandas_udf("boolean")
-        def hit(texts: pd.Series, scan=scan) -> pd.Series:
-            return pd.Series([len(at) > 0 for at in scan(texts)[1]], dtype=bool)
+def hit_udf(scan):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(at) > 0 for at in scan(texts)[1]], dtype=bool)
 
-        flag = flag | hit(F.col(text))
-    return documents.withColumn(into, flag)
+    return hit
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,11 @@ that the bound can't rule out. Each leaf then holds, for each of its home finger
 pairs are exact. Leaves emit no pairs but a spanning star for each component they see (a breadth-first search that
 drops a fingerprint from the search once reached), so a leaf full of near copies costs about its size, not its square.
 
+For copies with a Jaccard similarity of 0.8 over five-word shingles (`similar`), a single fingerprint within three
+bits would miss most: there, `TREES` fingerprints of the set of words, each with a tree of its own, find candidates,
+which differ little under few edits, and a pair counts if a 256-bit SimHash of its five-word shingles differs in at
+most `SKETCH_BITS` bits, the distance that a similarity of 0.8 stays below. Both are compared in the leaf.
+
 Stars of different leaves meet in shared fingerprints; alternating large-star and small-star steps contract them until
 nothing changes. Exact copies collapse into one fingerprint before anything is compared. Tables written to the shared
 folder cut the lineage of each step.
@@ -34,6 +39,8 @@ BITS = 3
 LEAF_SIZE = 4096
 MAX_SAMPLE = 1 << 18
 SEED = 42
+TREES = 6
+SKETCH_BITS = 45
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -104,34 +111,34 @@ def build_tree(sample: np.ndarray, leaves: int, seed: int = 7) -> list[tuple[int
 
 
 def route(nodes: list[tuple[int, int, int, int]], fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaves, fingerprints and whether the leaf is home, for each home and visit."""
+    """Leaves, places in fps and whether the leaf is home, for each home and visit."""
     out: list[tuple[int, np.ndarray, bool]] = []
-    todo = [(0 if nodes else -1, fps, True)]
+    todo = [(0 if nodes else -1, np.arange(len(fps)), True)]
     while todo:
-        at, points, home = todo.pop()
-        if not len(points):
+        at, rows, home = todo.pop()
+        if not len(rows):
             continue
         if at < 0:
-            out.append((-1 - at, points, home))
+            out.append((-1 - at, rows, home))
             continue
         vantage, radius, inner, outer = nodes[at]
-        d = distance(points, np.int64(vantage)).astype(np.int64)
+        d = distance(fps[rows], np.int64(vantage)).astype(np.int64)
         inside = d <= radius
         if home:
-            todo += [(inner, points[inside], True), (outer, points[~inside], True), (outer, points[inside & (d + bits > radius)], False)]
+            todo += [(inner, rows[inside], True), (outer, rows[~inside], True), (outer, rows[inside & (d + bits > radius)], False)]
         else:
-            todo += [(inner, points[d - bits <= radius], False), (outer, points[d + bits > radius], False)]
+            todo += [(inner, rows[d - bits <= radius], False), (outer, rows[d + bits > radius], False)]
     return (
-        np.concatenate([np.full(len(p), leaf, np.int32) for leaf, p, _ in out] or [np.empty(0, np.int32)]),
-        np.concatenate([p for _, p, _ in out] or [np.empty(0, np.int64)]),
-        np.concatenate([np.full(len(p), home) for _, p, home in out] or [np.empty(0, bool)]),
+        np.concatenate([np.full(len(r), leaf, np.int32) for leaf, r, _ in out] or [np.empty(0, np.int32)]),
+        np.concatenate([r for _, r, _ in out] or [np.empty(0, np.int64)]),
+        np.concatenate([np.full(len(r), home) for _, r, home in out] or [np.empty(0, bool)]),
     )
 
 
-def leaf_stars(fps: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, root) that connect whatever the leaf's home fingerprints reach in the leaf."""
+def leaf_stars(node: np.ndarray, fps: np.ndarray, home: np.ndarray, sketch: np.ndarray, bits: int, sketch_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, root) that connect whatever the leaf's homes reach in the leaf. sketch: columns to compare besides."""
     order = np.argsort(~home, kind="stable")
-    fps, n_home = fps[order], int(home.sum())
+    node, fps, sketch, n_home = node[order], fps[order], sketch[order], int(home.sum())
     left = np.arange(len(fps))  # not reached yet; homes come first
     members, roots = [], []
     while len(left) and left[0] < n_home:
@@ -141,38 +148,49 @@ def leaf_stars(fps: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray
         while frontier:
             at = frontier.pop()
             near = distance(fps[left], fps[at]) <= bits
+            if near.any() and sketch.shape[1]:
+                close = np.flatnonzero(near)
+                near[close] = distance(sketch[left[close]], sketch[at]).sum(axis=1, dtype=np.int64) <= sketch_bits
             if near.any():
                 found = left[near]
                 left = left[~near]
                 frontier.extend(found.tolist())
-                members.append(fps[found])
-                roots.append(np.full(len(found), fps[seed]))
+                members.append(node[found])
+                roots.append(np.full(len(found), node[seed]))
     empty = np.empty(0, np.int64)
     return np.concatenate(members or [empty]), np.concatenate(roots or [empty])
 
 
-def near_edges(distinct: DataFrame, *, bits: int = BITS, leaf_size: int = LEAF_SIZE, max_sample: int = MAX_SAMPLE) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints fp whose components are those of all pairs within `bits`."""
-    spark = distinct.sparkSession
-    n = distinct.count()
+def near_edges(items: DataFrame, *, bits: int = BITS, sketch_bits: int = 0, leaf_size: int = LEAF_SIZE, max_sample: int = MAX_SAMPLE) -> DataFrame:
+    """Edges (a, b) among items (node, fps: a fingerprint for each tree, sketch) whose components are those of all links."""
+    spark = items.sparkSession
+    n = items.count()
     leaves = max(1, min(-(-n // leaf_size), max_sample // 64))
     share = min(1.0, 64 * leaves / max(n, 1))
     # a share of the hash space, not of the rows: the same fingerprints whatever the partitions
-    picked = distinct.where(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_sample)
-    sample = np.sort(np.array([r[0] for r in picked.collect()], np.int64)) if leaves > 1 else np.empty(0, np.int64)
-    nodes = build_tree(sample, leaves) if len(sample) else []
-    tree = spark.sparkContext.broadcast(nodes)  # at most max_sample / 64 nodes
-
-    def send(fps):
-        leaf, fp, home = route(tree.value, np.array(fps, np.int64), bits)
-        return leaf, fp, home
+    picked = items.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).select("fps").limit(2 * max_sample)
+    sample = np.array([r[0] for r in picked.collect()], np.int64) if leaves > 1 else np.empty((0, 0), np.int64)
+    forest = [build_tree(np.unique(sample[:, k]), leaves) for k in range(sample.shape[1])] if len(sample) else None
+    held = spark.sparkContext.broadcast(forest)  # at most max_sample / 64 nodes a tree
+
+    def send(nodes, fps, sketches):
+        fps, nodes, sketch = np.array(fps, np.int64), np.array(nodes, np.int64), np.array(sketches, np.int64)
+        if not len(nodes):
+            return [], [], [], [], [], []
+        out = []
+        for k in range(fps.shape[1]):
+            leaf, row, home = route(held.value[k] if held.value else [], fps[:, k], bits)
+            out.append((np.full(len(row), k, np.int32), leaf, nodes[row], fps[row, k], home, row))
+        tree, leaf, node, fp, home, row = (np.concatenate(c) for c in zip(*out, strict=True))
+        return tree, leaf, node, fp, home, list(sketch[row])
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = leaf_stars(part["fp"].to_numpy(np.int64), part["home"].to_numpy(bool), bits)
+        sketch = np.array(part["sketch"].tolist(), np.int64).reshape(len(part), -1)
+        a, b = leaf_stars(part["node"].to_numpy(np.int64), part["fp"].to_numpy(np.int64), part["home"].to_numpy(bool), sketch, bits, sketch_bits)
         return pd.DataFrame({"a": a, "b": b})
 
-    routed = map_columns(distinct.select("fp"), send, "leaf int, fp long, home boolean")
-    return routed.groupBy("leaf").applyInPandas(link, "a long, b long")
+    routed = map_columns(items.select("node", "fps", "sketch"), send, "tree int, leaf int, node long, fp long, home boolean, sketch array<long>")
+    return routed.groupBy("tree", "leaf").applyInPandas(link, "a long, b long")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -195,14 +213,84 @@ def contracted(edges: DataFrame) -> DataFrame:
         edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
 
 
+def rooted(items: DataFrame, stars: DataFrame) -> DataFrame:
+    """(node, root, component_id) from items (node, first_id) and stars (node, root)."""
+    named = items.select("node", "first_id").join(stars, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "rooted")
+    smallest = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    return materialize(named.join(smallest, "root").select("node", "root", "component_id"), "components")
+
+
 def components(prints: DataFrame, *, bits: int = BITS, leaf_size: int = LEAF_SIZE) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of prints(doc_id, fp): the smallest doc_id reachable."""
-    firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    stars = materialize(contracted(near_edges(firsts, bits=bits, leaf_size=leaf_size)), "stars")
-    rooted = firsts.join(stars.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    smallest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
-    return materialize(rooted.join(smallest, "root").select("fp", "component_id"), "components")
+    firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct").withColumnRenamed("fp", "node")
+    items = firsts.withColumns({"fps": F.array("node"), "sketch": F.array().cast("array<long>")})
+    stars = materialize(contracted(near_edges(items, bits=bits, leaf_size=leaf_size)), "stars")
+    return rooted(firsts, stars).withColumnRenamed("node", "fp")
+
+
+def majority(hashes: np.ndarray, salts: tuple[int, ...]) -> list[int]:
+    """A 64-bit SimHash for each salt, as signed integers: bits set in over half of the salted hashes."""
+    out = []
+    for salt in salts:
+        h = hashes * np.uint64(salt)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def salts(n: int, seed: int) -> tuple[int, ...]:
+    return tuple(int(x) | 1 for x in np.random.default_rng(seed).integers(1, 1 << 63, size=n))
+
+
+WORD_SALTS, SHINGLE_SALTS = salts(TREES, 1), salts(4, 2)  # fixed by their seeds
+
+
+def word_prints(text: str | None) -> tuple[list[int], list[int]]:
+    """TREES fingerprints of the set of words, and a 256-bit sketch of the five-word shingles."""
+    words = lower_space_words(text)
+    if not words:
+        return [0] * TREES, [0] * 4
+    digest = xxhash.xxh64_intdigest
+    grams = [b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))]
+    alone = np.array([digest(w, SEED) for w in set(words)], np.uint64)
+    return majority(alone, WORD_SALTS), majority(np.array([digest(g, SEED) for g in grams], np.uint64), SHINGLE_SALTS)
+
+
+def similar(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, sketch_bits: int = SKETCH_BITS, leaf_size: int = LEAF_SIZE) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node) of the documents, node a 64-bit hash of the text, and (node, component_id)."""
+    base = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = base.schema["doc_id"].dataType.simpleString()
+    rows = base.select("doc_id", text_node(F.col("text")).alias("node"), "text")
+    made = map_columns(rows, lambda ids, nodes, texts: (ids, nodes, *zip(*map(word_prints, texts), strict=True)) if texts else ([], [], [], []), f"doc_id {kind}, node long, fps array<long>, sketch array<long>")
+    made = materialize(made, "word_prints")
+    items = materialize(made.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "items")
+    stars = materialize(contracted(near_edges(items, bits=bits, sketch_bits=sketch_bits, leaf_size=leaf_size)), "stars")
+    return made.select("doc_id", "node"), rooted(items, stars)
+
+
+def text_node(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near copies: of each component the row with the smallest id (then text) stays."""
+    rows, found = similar(documents, doc_id=doc_id, text=text)
+    keep = rows.join(found, "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
+    keep = materialize(keep.select(F.col("first.doc_id").alias("keep_id"), F.col("first.node").alias("keep_node")), "kept")
+    marked = documents.withColumn("_node", text_node(F.col(text)))
+    stay = marked.join(keep, F.col(doc_id).eqNullSafe(F.col("keep_id")) & (F.col("_node") == F.col("keep_node")), "left_semi")
+    repeated = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node")), "left_semi")
+    if repeated.groupBy("doc_id", "node").count().where("count > 1").limit(1).count():  # rows that say the same
+        rest = [c for c in documents.columns if c not in (doc_id, text)]
+        picked = stay.groupBy(doc_id, "_node").agg(F.min(F.struct(text, *rest)).alias("row"))
+        return picked.select(*(F.col(c) if c == doc_id else F.col(f"row.{c}") for c in documents.columns))
+    return stay.drop("_node")
 
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, leaf_size: int = LEAF_SIZE) -> DataFrame:

@@ -87,3 +87,41 @@ def test_awkward_tables(spark):
     found = simhash.near_duplicates(docs).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in found) == [("1", "1"), ("5", "1"), ("5", "1"), ("7", "7"), ("None", "None")]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def edited(rng, words, rate):
+    return [w if rng.random() > rate else "".join(rng.choices("qxz", k=6)) for w in words]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_finds_copies_of_a_similarity_of_four_fifths(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 4)))
+    texts, pairs = [], []
+    for _ in range(300):
+        own = [word() for _ in range(rng.randint(60, 300))]
+        copy = edited(rng, own, rng.choice([0.0, 0.005, 0.015, 0.2]))
+        pairs.append((len(texts), len(texts) + 1, jaccard(own, copy)))
+        texts += [own, copy]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], ROWS)
+    rows, found = simhash.similar(docs, leaf_size=64)
+    of = {r["doc_id"]: r["component_id"] for r in rows.join(found, "node").collect()}
+    close = [of[a] == of[b] for a, b, j in pairs if j >= 0.8]
+    assert sum(close) > 0.95 * len(close) > 100
+    assert not any(of[a] == of[b] for a, b, j in pairs if j < 0.5)
+    assert len(set(of.values())) >= 300
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    assert kept == set(of.values())
+
+
+def test_one_of_each_of_awkward_tables(spark):
+    rows = [(1, None, None, None, None), (5, "", "", "", 0), (5, "", "", "", 0), (None, "a b c", "x", "y", 1), (None, "d e f", "x", "y", 1), (7, "z " * 4000, "x", "y", 1), (7, "z " * 4000, "x", "y", 1), (7, "other words stand here", "x", "y", 1), (8, "z " * 4000, "x", "y", 1)]
+    docs = spark.createDataFrame(rows, ROWS).selectExpr("*", "1 AS node", "2 AS component_id")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in kept.collect()) == [("1", ""), ("7", "other"), ("7", "z z z"), ("None", "a b c"), ("None", "d e f")]
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
