@@ -76,6 +76,7 @@ def templates(documents: DataFrame, *, text: str = "text", min_docs: int = MIN_D
     # variable fields: only leaves that recur can hold a recurring template
     leaves = often.select(F.col("key").alias("leaf"), F.col("docs").alias("leaf_docs"))
     inside = base.join(small(leaves), "leaf").join(small(often.select("key")), "key", "left_anti")
+    inside = materialize(inside.select("doc", "at", "line", "n", "leaf", "leaf_docs"), "inside")
     tokens = inside.select("doc", "leaf", "leaf_docs", "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
     tokens = tokens.select("doc", "leaf", "leaf_docs", "n", "place", F.xxhash64("token").alias("token"))
     fixed = recurring(tokens, ["leaf", "leaf_docs", "n", "place", "token"], min_docs).where(F.col("docs") >= F.col("leaf_docs") * FIXED_SHARE)
