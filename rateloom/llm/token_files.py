@@ -1,9 +1,10 @@
 """Token ids as length-delimited binary records with masked checksums and a separate offset index.
 
-Format. A data file is a run of records. Each record is
+Format. A data file is 8 bytes, "RLTOKEN" and the bytes an id takes (2 where the vocabulary has at most 65,536 entries,
+else 4), and a run of records. Each record is
     8 bytes   length of the payload, little-endian
     4 bytes   masked checksum of these 8 bytes
-    payload   token ids as little-endian unsigned 32-bit integers
+    payload   token ids as little-endian unsigned integers
     4 bytes   masked checksum of the payload
 The checksum is CRC-32 (IEEE); the mask rotates it right by 15 bits and adds 0xA282EAD8, so that a checksum of data
 that itself holds checksums stays meaningful. The index file of a data file has 24 bytes a record, little-endian:
@@ -43,7 +44,9 @@ from rateloom.session import materialize, scratch, table
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
+GROUP = 256
+MAGIC = b"RLTOKEN"
 CACHE_LENGTH = 48
 MASK_DELTA = 0xA282EAD8
 #: Characters encoded at a time.
@@ -88,27 +91,48 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """Texts to the bytes of their ids, through a cache of pieces."""
+    """Texts to the bytes of their ids, through a cache of pieces. Ids take two bytes where the vocabulary allows."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # a character of a byte-level token stands for a byte
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.sizes[k] = len(token)
+        self.width = 2 if len(self.sizes) <= 1 << 16 else 4
         self.cache: dict[str, bytes] = {}
 
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def fresh(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces. Plain words go to the tokenizer many at a time; byte lengths tell whose ids are whose."""
+        plain, other = [], []
+        for p in new:
+            (plain if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() else other).append(p)
+        out = {p: x.tobytes() for p, x in zip(other, self.ids(other), strict=True)}
+        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
+        for group, x in zip(groups, self.ids(["".join(g) for g in groups]), strict=True):
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in group])
+            cuts = ((np.searchsorted(np.cumsum(self.sizes[x]), ends) + 1) * self.width).tolist()
+            data, at = x.tobytes(), 0
+            for p, cut in zip(group, cuts, strict=True):
+                out[p] = data[at:cut]
+                at = cut
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [pieces(t) for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         known = self.cache
-        new = list({p for c in cut for p in c if p not in known})
-        ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, ids, strict=True)}
+        fresh = self.fresh(list({p for c in cut for p in c if p not in known}))
         known.update((p, b) for p, b in fresh.items() if len(p) <= CACHE_LENGTH)
         long = {p: b for p, b in fresh.items() if len(p) > CACHE_LENGTH}
-        get = known.__getitem__
-        if long:
-            get = lambda p: long[p] if p in long else known[p]
+        get = (lambda p: long[p] if p in long else known[p]) if long else known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
@@ -131,6 +155,14 @@ def opened(uri: str, mode: str):
     return store.open_input_file(path)
 
 
+def width_of(data) -> int:
+    """Bytes an id, from a data file's beginning."""
+    head = data.read(len(MAGIC) + 1)
+    if head[:-1] != MAGIC or head[-1] not in (2, 4):
+        raise ValueError("not a token file")
+    return head[-1]
+
+
 MANIFEST = "part int, file string, n_records long, n_ids long"
 
 
@@ -148,9 +180,10 @@ def write_records(documents: DataFrame, folder: str, tokenizer: str, *, doc_id:
 
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
-        encode, end = encoder(tokenizer), binary.pack("<I", end_id)
+        encode = encoder(tokenizer)
+        end = end_id.to_bytes(encode.width, "little")
         data = index = None
-        at = records = n_ids = 0
+        at, records, n_ids = len(MAGIC) + 1, 0, 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             start = 0
@@ -164,12 +197,13 @@ def write_records(documents: DataFrame, folder: str, tokenizer: str, *, doc_id:
                 places = np.empty(len(payloads), INDEX)
                 if data is None:
                     data, index = opened(f"{name}.bin", "w"), opened(f"{name}.idx", "w")
+                    data.write(MAGIC + bytes([encode.width]))
                 for k, payload in enumerate(payloads):
                     doc = ids[start + k]
                     places[k] = (at, len(payload), NO_ID if doc is None else doc)
                     data.write(frame(payload))
                     at += len(payload) + 16
-                    n_ids += len(payload) // 4
+                    n_ids += len(payload) // encode.width
                 index.write(places.tobytes())
                 records += len(payloads)
                 start = stop
@@ -192,13 +226,14 @@ def read_records(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with opened(f"{name}.idx", "r") as index, opened(f"{name}.bin", "r") as data:
+                    width = width_of(data)
                     while raw := index.read(INDEX.itemsize * 4096):
                         places = np.frombuffer(raw, INDEX)
                         sums = np.empty(len(places), np.int64)
                         for k, (offset, length, _) in enumerate(places.tolist()):
                             data.seek(offset)
-                            sums[k] = zlib.crc32(unframe(data.read(length + 16)))
-                        n = places["length"].astype(np.int64) // 4
+                            sums[k] = zlib.crc32(np.frombuffer(unframe(data.read(length + 16)), f"<u{width}").astype("<u4"))
+                        n = places["length"].astype(np.int64) // width
                         ids = places["doc_id"]
                         columns = (pa.array(ids, mask=ids == NO_ID), first + np.cumsum(n) - n, n, sums)
                         first += int(n.sum())
@@ -212,9 +247,10 @@ def read_record(name: str, k: int) -> tuple[int | None, np.ndarray]:
     """The k-th record of a data file, found through the index: (doc_id, ids)."""
     with opened(f"{name}.idx", "r") as index, opened(f"{name}.bin", "r") as data:
         index.seek(INDEX.itemsize * k)
+        width = width_of(data)
         (offset, length, doc) = np.frombuffer(index.read(INDEX.itemsize), INDEX)[0].tolist()
         data.seek(offset)
-        return (None if doc == NO_ID else doc), np.frombuffer(unframe(data.read(length + 16)), "<u4")
+        return (None if doc == NO_ID else doc), np.frombuffer(unframe(data.read(length + 16)), f"<u{width}")
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

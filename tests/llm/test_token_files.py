@@ -29,7 +29,7 @@ def test_pieces_give_the_ids_of_the_whole_text(plain):
     texts = ["", " ", "  a", "a ", " a", "a  ", "  a", "a b c", "x\n y"] + ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000)]
     got = encode(texts)
     for t, b in zip(texts, got, strict=True):
-        assert np.frombuffer(b, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(b, f"<u{encode.width}").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_records_are_checked():
