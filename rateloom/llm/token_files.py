@@ -44,7 +44,7 @@ from rateloom.session import materialize, scratch, table
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 GROUP = 256
 MAGIC = b"RLTOKEN"
 CACHE_LENGTH = 48
@@ -78,16 +78,19 @@ def unframe(data: bytes) -> bytes:
 
 
 def pieces(text: str) -> list[str]:
-    """Parts of a text whose ids, one after the other, are those of the text."""
+    """Keys of the parts of a text whose ids, one after the other, are those of the text.
+
+    A key that begins with a blank stands for what follows the blank, any other for a blank and itself.
+    """
     if UNEASY.search(text):  # blanks beside white space: cut only between a non-blank and ' ' + non-blank
-        return CUT.split(text)
-    first, *rest = text.split(" ")
-    if not first and rest:  # a leading blank belongs to the first word
-        first, rest = " " + rest[0], rest[1:]
-    if rest and not rest[-1]:  # a trailing one is a piece of its own
-        rest[-1:] = []
-        return [first, *[" " + w for w in rest], " "]
-    return [first, *[" " + w for w in rest]]
+        return [" " + p for p in CUT.split(text)]
+    words = text.split(" ")
+    words[0] = " " + words[0]
+    return words if len(words[0]) > 1 else words[1:]  # a leading blank belongs to the first word
+
+
+def literal(key: str) -> str:
+    return key[1:] if key[:1] == " " else " " + key
 
 
 class Encoder:
@@ -97,6 +100,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # it would see every word once
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         # a character of a byte-level token stands for a byte
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -109,14 +114,14 @@ class Encoder:
         return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def fresh(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces. Plain words go to the tokenizer many at a time; byte lengths tell whose ids are whose."""
+        """Ids of keys. Plain words go to the tokenizer many at a time; byte lengths tell whose ids are whose."""
         plain, other = [], []
         for p in new:
-            (plain if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() else other).append(p)
-        out = {p: x.tobytes() for p, x in zip(other, self.ids(other), strict=True)}
+            (plain if p and not p[0].isspace() and not p[-1].isspace() else other).append(p)
+        out = {p: x.tobytes() for p, x in zip(other, self.ids(list(map(literal, other))), strict=True)}
         groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
-        for group, x in zip(groups, self.ids(["".join(g) for g in groups]), strict=True):
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in group])
+        for group, x in zip(groups, self.ids([" " + " ".join(g) for g in groups]), strict=True):
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in group])
             cuts = ((np.searchsorted(np.cumsum(self.sizes[x]), ends) + 1) * self.width).tolist()
             data, at = x.tobytes(), 0
             for p, cut in zip(group, cuts, strict=True):
@@ -129,10 +134,10 @@ class Encoder:
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         known = self.cache
-        fresh = self.fresh(list({p for c in cut for p in c if p not in known}))
+        here = set().union(*cut)
+        fresh = self.fresh([p for p in here if p not in known])
         known.update((p, b) for p, b in fresh.items() if len(p) <= CACHE_LENGTH)
-        long = {p: b for p, b in fresh.items() if len(p) > CACHE_LENGTH}
-        get = (lambda p: long[p] if p in long else known[p]) if long else known.__getitem__
+        get = {p: fresh[p] if p in fresh else known[p] for p in here}.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
