@@ -18,8 +18,8 @@ manifest: a lost executor or a second attempt leaves a stray file, never a wrong
 store that pyarrow knows will do.
 
 Encoding. The tokenizer's pre-tokens never span the boundary between a non-blank character and a single blank followed
-by a non-blank one, so a text is cut there and the pieces' ids are kept in a bounded cache; a piece seen before costs a
-lookup. Everything else is encoded by the tokenizers library.
+by a non-blank one, so texts are cut there, a few megabytes at a time, and each different piece is encoded once. Pieces of
+earlier batches are kept up to a bound. Everything else is encoded by the tokenizers library.
 
 Defined results: a null or empty text is the end id alone; null ids come first, repeated ids are ordered by their
 text; repeated rows each give a record; an empty table gives no files and no rows; other columns are ignored.
@@ -27,6 +27,7 @@ text; repeated rows each give a record; an empty table gives no files and no row
 
 from __future__ import annotations
 
+import os
 import re
 import struct as binary
 import sys
@@ -44,17 +45,17 @@ from rateloom.session import materialize, scratch, table
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_PIECES = 600_000
 GROUP = 256
+#: Characters of the pieces kept between batches, besides those of a batch.
+KEPT_CHARS = 6_000_000
 MAGIC = b"RLTOKEN"
-CACHE_LENGTH = 48
 MASK_DELTA = 0xA282EAD8
 #: Characters encoded at a time.
 FLUSH_BYTES = 4 << 20
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8")])
 NO_ID = -(1 << 63)
 CUT = re.compile(r"(?<=\S)(?= \S)")
-UNEASY = re.compile(r" \s|\s ")
+OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
 
 
 def masked_crc(data: bytes) -> int:
@@ -77,12 +78,17 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
+def uneasy(text: str) -> bool:
+    """Whether a blank stands beside other white space."""
+    return "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in OTHER_SPACE)
+
+
 def pieces(text: str) -> list[str]:
     """Keys of the parts of a text whose ids, one after the other, are those of the text.
 
     A key that begins with a blank stands for what follows the blank, any other for a blank and itself.
     """
-    if UNEASY.search(text):  # blanks beside white space: cut only between a non-blank and ' ' + non-blank
+    if uneasy(text):  # cut only between a non-blank and ' ' + non-blank
         return [" " + p for p in CUT.split(text)]
     words = text.split(" ")
     words[0] = " " + words[0]
@@ -94,51 +100,51 @@ def literal(key: str) -> str:
 
 
 class Encoder:
-    """Texts to the bytes of their ids, through a cache of pieces. Ids take two bytes where the vocabulary allows."""
+    """Texts to the bytes of their ids. Ids take two bytes where the vocabulary allows."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # it would see every word once
+            self.tokenizer.model._resize_cache(0)  # it would see each word once
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         # a character of a byte-level token stands for a byte
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.sizes[k] = len(token)
+        self.known: dict[str, bytes] = {}
+        self.kept = 0
         self.width = 2 if len(self.sizes) <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def fresh(self, new: list[str]) -> dict[str, bytes]:
+    def words(self, new: list[str]) -> dict[str, bytes]:
         """Ids of keys. Plain words go to the tokenizer many at a time; byte lengths tell whose ids are whose."""
-        plain, other = [], []
-        for p in new:
-            (plain if p and not p[0].isspace() and not p[-1].isspace() else other).append(p)
+        other = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        plain = list(set(new).difference(other)) if other else new
         out = {p: x.tobytes() for p, x in zip(other, self.ids(list(map(literal, other))), strict=True)}
         groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
         for group, x in zip(groups, self.ids([" " + " ".join(g) for g in groups]), strict=True):
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in group])
+            ends = np.cumsum([len(p) + 1 if p.isascii() else len(p.encode("utf-8", "surrogatepass")) + 1 for p in group])
             cuts = ((np.searchsorted(np.cumsum(self.sizes[x]), ends) + 1) * self.width).tolist()
-            data, at = x.tobytes(), 0
-            for p, cut in zip(group, cuts, strict=True):
-                out[p] = data[at:cut]
-                at = cut
+            data = x.tobytes()
+            out.update(zip(group, [data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True))
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of all texts; each different piece of them is encoded once, and kept for the next ones."""
         cut = [pieces(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        known = self.cache
-        here = set().union(*cut)
-        fresh = self.fresh([p for p in here if p not in known])
-        known.update((p, b) for p, b in fresh.items() if len(p) <= CACHE_LENGTH)
-        get = {p: fresh[p] if p in fresh else known[p] for p in here}.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        if self.kept > KEPT_CHARS:
+            self.known, self.kept = {}, 0
+        new = list(set().union(*cut).difference(self.known))
+        self.kept += sum(map(len, new))
+        self.known.update(self.words(new))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, c)) for c in cut]
+        return out
 
 
 def encoder(path: str) -> Encoder:
