@@ -47,7 +47,7 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 GROUP = 256
 #: Characters of the pieces kept between batches, besides those of a batch.
-KEPT_CHARS = 6_000_000
+KEPT_CHARS = 12_000_000
 MAGIC = b"RLTOKEN"
 MASK_DELTA = 0xA282EAD8
 #: Characters encoded at a time.
@@ -209,13 +209,13 @@ def write_records(documents: DataFrame, folder: str, tokenizer: str, *, doc_id:
                 if data is None:
                     data, index = opened(f"{name}.bin", "w"), opened(f"{name}.idx", "w")
                     data.write(MAGIC + bytes([encode.width]))
-                for k, payload in enumerate(payloads):
-                    doc = ids[start + k]
-                    places[k] = (at, len(payload), NO_ID if doc is None else doc)
-                    data.write(frame(payload))
-                    at += len(payload) + 16
-                    n_ids += len(payload) // encode.width
+                places["length"] = sizes = np.array(list(map(len, payloads)), np.int64)
+                places["offset"] = at + np.cumsum(sizes + 16) - sizes - 16
+                places["doc_id"] = [NO_ID if doc is None else doc for doc in ids[start:stop]]
+                data.write(b"".join(map(frame, payloads)))
                 index.write(places.tobytes())
+                at += int((sizes + 16).sum())
+                n_ids += int(sizes.sum()) // encode.width
                 records += len(payloads)
                 start = stop
         if data is not None:
