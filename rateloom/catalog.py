@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from rateloom.plans import relations, signals
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relations.QUERIES, **signals.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relations.SQL, **signals.SQL}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rateloom.session import table
 
-    return table(spark, sf_dir, "lineitem").limit(0)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors of the identity dedupe, each part's prices, and the rate-distortion curve over brands."""
+    return relations.lagrangian_curve(spark, sf_dir)
