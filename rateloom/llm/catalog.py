@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_decontamination": decontam.OP4_SQL,
+    "op6_license_scan": licenses.OP6_SQL,
+    "op10_line_templates": line_templates.OP10_SQL,
 }

@@ -186,3 +186,43 @@ def scan(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    return f"(VALUES {', '.join(map(str, rows))}) AS x({names})"
+
+
+def sql() -> str:
+    """The same scan in DuckDB: anchors by document frequency, starts by counting, key phrases by joining their words."""
+    words, phrases, labels = [], [], []
+    for t, (label, wording, keys) in enumerate(TEMPLATES):
+        inside = wording.split()
+        labels.append((t, label))
+        words += [(t, k, w) for k, w in enumerate(inside)]
+        for p, phrase in enumerate(keys):
+            want = phrase.split()
+            at = next(k for k in range(len(inside)) if inside[k : k + len(want)] == want)
+            phrases += [(t, p, at + k, w) for k, w in enumerate(want)]
+    base = [(label, k, w, len(phrase.split())) for phrase, label in BASE for k, w in enumerate(phrase.split())]
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+spot AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM w),
+tw AS (SELECT * FROM {_values(words, 't, k, word')}), ph AS (SELECT * FROM {_values(phrases, 't, p, k, word')}),
+lab AS (SELECT * FROM {_values(labels, 't, label')}), bp AS (SELECT * FROM {_values(base, 'label, k, word, size')}),
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM spot WHERE word IN (SELECT word FROM tw) GROUP BY word),
+anchor AS (SELECT t, k, word, count(*) OVER (PARTITION BY t) AS full_size FROM (SELECT tw.*, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), k) AS rn FROM tw LEFT JOIN df USING (word)) WHERE rn <= {ANCHORS}),
+starts AS (SELECT doc_id, t, i - k AS s, count(*) / CAST(max(full_size) AS DOUBLE) AS share FROM spot JOIN anchor USING (word) GROUP BY ALL HAVING count(*) >= ceil({SHARE} * max(full_size))),
+seen AS (SELECT s.doc_id, s.t, s.s, count(*) AS hit FROM starts s JOIN ph ON ph.t = s.t JOIN spot ON spot.doc_id = s.doc_id AND spot.i = s.s + ph.k AND spot.word = ph.word GROUP BY ALL),
+good AS (SELECT s.* FROM starts s JOIN seen USING (doc_id, t, s) WHERE hit = (SELECT count(*) FROM ph WHERE ph.t = s.t)),
+based AS (SELECT doc_id, label, i - k AS i FROM spot JOIN bp USING (word) GROUP BY doc_id, label, i - k, size HAVING count(*) = size),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM based GROUP BY doc_id),
+bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM based) GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM based UNION SELECT doc_id, label FROM good JOIN lab USING (t)) GROUP BY doc_id),
+sc AS (SELECT doc_id, max(share) AS share FROM good GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USING (doc_id)
+"""
+
+
+OP6_SQL = sql()

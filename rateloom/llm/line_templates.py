@@ -113,3 +113,26 @@ def cleaned(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = f"""
+WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT text, unnest(range(len(l))) AS spot, unnest(l) AS raw FROM (SELECT text, string_split(text, chr(10)) AS l FROM texts)),
+tok AS (SELECT text, spot, list_transform(string_split(raw, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{VARIABLE}' ELSE t END) AS w FROM lines),
+uses AS (SELECT text, spot, w, len(w) AS n, array_to_string(w, ' ') AS line, len(w) || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf FROM tok WHERE len(w) >= {MIN_TOKENS} AND trim(array_to_string(w, ' ')) <> ''),
+whole AS (SELECT line FROM uses GROUP BY line HAVING count(DISTINCT text) >= {MIN_DOCS}),
+leaves AS (SELECT leaf, count(DISTINCT text) AS docs FROM uses GROUP BY leaf HAVING count(DISTINCT text) >= {MIN_DOCS}),
+inside AS (SELECT u.*, docs FROM uses u JOIN leaves USING (leaf) WHERE NOT EXISTS (SELECT 1 FROM whole x WHERE x.line = u.line)),
+tokens AS (SELECT text, spot, leaf, docs, n, unnest(range(1, n + 1)) AS place, unnest(w) AS token FROM inside),
+fixed AS (SELECT leaf, n, place, token FROM tokens GROUP BY leaf, docs, n, place, token HAVING count(DISTINCT text) >= {MIN_DOCS} AND count(DISTINCT text) >= docs * {FIXED_SHARE}::DOUBLE),
+good AS (SELECT leaf FROM fixed GROUP BY leaf, n HAVING count(DISTINCT place) >= n * {CONSTANT}::DOUBLE),
+shaped AS (SELECT text, spot, string_agg(CASE WHEN f.token IS NULL THEN '{VARIABLE}' ELSE t.token END, ' ' ORDER BY t.place) AS template
+  FROM tokens t JOIN good USING (leaf) LEFT JOIN fixed f ON f.leaf = t.leaf AND f.place = t.place AND f.token = t.token
+  GROUP BY text, spot, t.n HAVING count(*) FILTER (WHERE f.token IS NOT NULL AND f.token <> '{VARIABLE}') >= t.n * {CONSTANT}::DOUBLE),
+again AS (SELECT template FROM shaped GROUP BY template HAVING count(DISTINCT text) >= {MIN_DOCS}),
+drops AS (SELECT text, list(DISTINCT spot) AS dropped FROM (SELECT text, spot FROM uses JOIN whole USING (line) UNION ALL SELECT text, spot FROM shaped JOIN again USING (template)) GROUP BY text),
+parts AS (SELECT doc_id, d.text, string_split(d.text, chr(10)) AS l, dropped FROM documents d LEFT JOIN drops x ON x.text = d.text)
+SELECT doc_id, CAST(coalesce(len(list_filter(l, lambda x: trim(x) <> '')), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
+  CASE WHEN dropped IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(len(l)), lambda k: NOT list_contains(dropped, k)), lambda k: l[k + 1]), chr(10)) END AS text
+FROM parts
+"""
