@@ -228,6 +228,9 @@ def bandlimit(x: np.ndarray, rate: float, low: float, high: float) -> np.ndarray
 
 def local_level(x: np.ndarray, kernel: np.ndarray, floor: float = 1e-6) -> np.ndarray:
     """Windowed RMS, normalised by the weight that the window covers."""
+    if len(kernel) > len(x):  # a window no longer than the signal
+        cut = (len(kernel) - len(x) + 1) // 2
+        kernel = kernel[cut : cut + len(x)]
     power = np.convolve(x * x, kernel, "same") / np.maximum(np.convolve(np.ones_like(x), kernel, "same"), 1e-300)
     return np.sqrt(np.maximum(power, 0) + floor * floor)
 

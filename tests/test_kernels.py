@@ -125,3 +125,34 @@ def test_metric_registry():
     metrics.unregister_metric("twice")
     with pytest.raises(KeyError):
         metrics.build_metric("twice")
+
+
+def test_bands_add_up_and_filters_hold():
+    from rateloom.functions import spectra
+
+    x = np.random.default_rng(4).normal(size=400)
+    assert np.abs(spectra.split_bands(x, 8000, [500, 2000]).sum(axis=0) - x).max() < 1e-9
+    t = np.arange(8000) / 8000
+    kept = spectra.high_pass(np.sin(2 * np.pi * 300 * t) + 2, 8000, 30)
+    assert abs(kept.mean()) < 0.01 and abs(np.abs(kept[1000:7000]).max() - 1) < 0.02
+    assert spectra.mfcc(x, 8000, 64, 32, 12, 5).shape == (11, 5)
+    m = spectra.dct_matrix(8, 8)
+    assert np.allclose(m @ m.T, np.eye(8))
+    assert spectra.multi_resolution_distance(x, x) == 0 and spectra.cepstral_distortion(x, x, 8000) == 0
+    assert spectra.integrated_level_db(np.zeros(100), 8000) is None
+    assert spectra.integrated_level_db(np.ones(8000), 8000) == pytest.approx(0)
+    profile = spectra.harmonic_profile(tone(), 8000, 200, 3, 512, 256)
+    assert (profile[:, 0] > profile[:, 1]).all() and (profile[:, 1] > profile[:, 2]).all()
+    step = spectra.one_pole(np.array([0.0, 1, 1, 0, 0]), 0.5, 0.1)
+    assert step.tolist() == pytest.approx([0, 0.5, 0.75, 0.675, 0.6075])
+
+
+def test_velocity_volumes_and_budget():
+    from rateloom.operators import notes
+
+    assert notes.velocity_volumes({}, 100) == [0] * 128
+    v = notes.velocity_volumes({0: -60.0, 100: -6.0, 127: 0.0}, 100)
+    assert v[100] == 64 and v[127] == 64 and v == sorted(v)
+    assert notes.split_budget(1000, 100, 50, 2) == 800
+    with pytest.raises(ValueError):
+        notes.split_budget(100, 100, 50, 2)
