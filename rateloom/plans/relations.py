@@ -357,7 +357,7 @@ def set_union_rates(spark, d):
 @query("SELECT source, min(doc_id) AS first_doc, row_number() OVER (ORDER BY min(doc_id)) AS place FROM documents GROUP BY 1")
 def distinct_first_seen(spark, d):
     firsts = table(spark, d, "documents").groupBy("source").agg(F.min("doc_id").alias("first_doc"))
-    return firsts.withColumn("place", F.row_number().over(W.orderBy("first_doc")))
+    return firsts.withColumn("place", F.row_number().over(W.orderBy("first_doc")).cast("long"))
 
 
 @query("SELECT DISTINCT p_size FROM part WHERE p_brand = 'Brand#11' EXCEPT SELECT p_size FROM part WHERE p_brand = 'Brand#12'")

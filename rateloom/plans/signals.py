@@ -74,7 +74,7 @@ def held_run_first(spark, d):
 def running_min_limit(spark, d):
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     ev = table(spark, d, "events")
-    return ev.select("event_id", "user_id", F.min("value").over(w.rowsBetween(-5, 2)).alias("low"), F.max("value").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("top"), F.row_number().over(w).alias("place"))
+    return ev.select("event_id", "user_id", F.min("value").over(w.rowsBetween(-5, 2)).alias("low"), F.max("value").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("top"), F.row_number().over(w).cast("long").alias("place"))
 
 
 @query(f"""SELECT event_id, {r6('avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)', 5)} AS pooled,

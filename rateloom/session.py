@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         app = spark.sparkContext.applicationId
-        named = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="rateloom-"))
+        if app not in _LOCAL:
+            folder = tempfile.mkdtemp(prefix="rateloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _LOCAL[app] = "file://" + folder
+        named = _LOCAL[app]
     return named.rstrip("/")
 
 
