@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rateloom.operators.relational import running_total
+
 
 def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
     """Kendall's tau-b. Rows collapse to counts of (x, y); x should have few values, y may have many."""
@@ -34,9 +36,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
 
     def ranks(c: str) -> DataFrame:
-        n = rows.groupBy(c).agg(F.count("*").alias("k"))
-        upto = F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return n.select(c, (upto - (F.col("k") - 1) / 2).alias(f"r{c}"))
+        n = running_total(rows.groupBy(c).agg(F.count("*").alias("k")), c, "k", "upto")
+        return n.select(c, (F.col("upto") - (F.col("k") - 1) / 2).alias(f"r{c}"))
 
     both = rows.join(ranks("x"), "x").join(ranks("y"), "y")
     a, b, n = F.col("rx"), F.col("ry"), F.count("*")

@@ -21,13 +21,13 @@ def tasks(material: DataFrame, recordings: DataFrame, key: str = "pitch") -> Dat
 def note_records(events: DataFrame, recordings: DataFrame, key: str = "pitch", count: str = "count") -> DataFrame:
     """Events expanded by their counts, each routed to the nearest recorded key."""
     notes = events.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count))))
-    return R.nearest_join(notes.withColumn("_all", F.lit(0)), recordings.select(F.lit(0).alias("_all"), key, F.col(key).alias("_k")), ["_all"], key, key, "_k").drop("_all", "nearest_value")
+    return R.nearest_join(notes, recordings.groupBy(key).agg(F.min(key).alias("_k")), [], key, key, "_k").drop("nearest_value")
 
 
 def covered_routing(keys: DataFrame, low: int, high: int, by: list[str], key: str = "pitch") -> DataFrame:
     """Every key of the keyboard with the nearest recorded one of its group."""
     board = keys.select(*by).distinct().withColumn("key", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    return R.nearest_join(board, keys.select(*by, key, F.col(key).alias("_k")), by, "key", key, "_k").drop("nearest_value")
+    return R.nearest_join(board, keys.groupBy(*by, key).agg(F.min(key).alias("_k")), by, "key", key, "_k").drop("nearest_value")
 
 
 def sweep(tasks_: DataFrame, rates: list[int], depths: list[int], own_rate: str) -> DataFrame:

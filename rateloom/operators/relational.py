@@ -6,10 +6,14 @@ shuffle; windows are left to what needs an order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-12
+#: Ranges into which an axis is cut where one task should not sort it all.
+BUCKETS = 64
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -55,23 +59,60 @@ def allotments(groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     return groups.join(given, key, "left").fillna(0, ["picks"])
 
 
-def nearest_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, right_key: str) -> DataFrame:
+def range_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
+    """Number of the value range that a row falls into; the ranges hold about equal shares. The driver sees their edges only."""
+    shares = [k / buckets for k in range(1, buckets)]
+    edges = sorted(set(df.agg(F.percentile_approx(column, shares, 10 * buckets)).first()[0] or []))
+    value = F.col(column)
+    # equal values never part: an edge counts as passed by what lies above it
+    passed = [(value > F.lit(e)).cast("int") for e in edges]
+    return reduce(lambda a, b: a + b, passed) if passed else F.when(value.isNotNull(), 0)
+
+
+def running_total(df: DataFrame, order: str, value: str, into: str, buckets: int = BUCKETS) -> DataFrame:
+    """Sum of a column over all rows up to each one's distinct value of order, without sorting the table in one task.
+
+    Ranges of values are summed by themselves, and the ranges' totals give what lies before each.
+    """
+    ranged = df.withColumn("_b", range_bucket(df, order, buckets))
+    totals = ranged.groupBy("_b").agg(F.sum(value).alias("_t"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = totals.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    here = Window.partitionBy("_b").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ranged.withColumn("_s", F.sum(value).over(here))
+    return inside.join(F.broadcast(offsets), "_b").withColumn(into, F.col("_o") + F.col("_s")).drop("_b", "_o", "_s")
+
+
+def nearest_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, right_key: str, buckets: int = BUCKETS) -> DataFrame:
     """For each left row the right row of its group with the nearest value; the lower value, then the lower key wins.
 
-    Both sides are sorted together once and each left row looks one way and the other: no pairs are made.
+    Both sides are sorted together once and each left row looks one way and the other: no pairs are made. The axis is
+    cut into ranges, so that a large group is many tasks; what lies beyond a range's ends comes from the ranges' own
+    first and last right values.
     """
     side = right.groupBy(*by, F.col(right_on).alias("_v")).agg(F.min(right_key).alias("_key"))
+    bucket = range_bucket(side, "_v", buckets)
     rows = left.withColumn("_row", F.struct(*left.columns))
-    both = rows.select(*by, F.col(on).alias("_v"), "_row", F.lit(None).cast(side.schema["_key"].dataType).alias("_key")).unionByName(
+    both = rows.select(*by, F.col(on).cast(side.schema["_v"].dataType).alias("_v"), "_row", F.lit(None).cast(side.schema["_key"].dataType).alias("_key")).unionByName(
         side.select(*by, "_v", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_key"))
-    w = Window.partitionBy(*by).orderBy("_v")
+    both = both.withColumn("_b", bucket)
     mark = F.when(F.col("_key").isNotNull(), F.struct("_v", "_key"))
+    ends = both.groupBy(*by, "_b").agg(F.max(mark).alias("_top"), F.min(mark).alias("_low"))
+    across = Window.partitionBy(*by).orderBy("_b")
+    ends = ends.select(
+        *by, "_b", F.last("_top", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_low", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    # the nearest right rows outside a range stand in it as well
+    guests = ends.select(*by, "_b", F.explode(F.array_compact(F.array("_before", "_after"))).alias("_g"))
+    nobody = F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")
+    both = both.unionByName(guests.select(*by, F.col("_g._v").alias("_v"), nobody, F.col("_g._key").alias("_key"), "_b"))
+    w = Window.partitionBy(*by, "_b").orderBy("_v")
     # peers of a value are in range frames, so a right row of the same value is seen both ways
     below = F.last(mark, True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     above = F.first(mark, True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
     found = both.withColumns({"_lo": below, "_hi": above}).where("_row is not null")
     low, high = F.abs(F.col("_v") - F.col("_lo._v")), F.abs(F.col("_hi._v") - F.col("_v"))
-    pick = F.when(F.col("_lo").isNull() | (high < low), F.col("_hi")).otherwise(F.col("_lo"))
+    pick = F.when(F.col("_v").isNull(), F.lit(None)).when(F.col("_lo").isNull() | (high < low), F.col("_hi")).otherwise(F.col("_lo"))
     return found.withColumn("_pick", pick).select("_row.*", F.col("_pick._v").alias("nearest_value"), F.col("_pick._key").alias("nearest_key"))
 
 

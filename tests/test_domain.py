@@ -99,3 +99,19 @@ def test_config_and_cli(spark, tmp_path):
     takes = recordings.resolved_velocities(recordings.recordings(spark, str(tmp_path / "wav"))).collect()
     assert sorted((t["index"], t["pitch"], t["velocity"], t["frames"]) for t in takes) == [(1, 60, 90, 1600), (2, 64, 90, 1600)]
     assert cli.main(["list"]) == 0
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 64])
+def test_nearest_join_and_totals_do_not_depend_on_the_ranges(spark, buckets):
+    import random
+
+    rng = random.Random(3)
+    left = [(k, rng.choice("ab"), rng.choice([None, *range(60)])) for k in range(300)] + [(999, "none", 5)]
+    right = [(k, rng.choice("ab"), rng.randrange(0, 60, 7)) for k in range(40)]
+    a, b = spark.createDataFrame(left, "id int, g string, v int"), spark.createDataFrame(right, "k int, g string, w int")
+    got = {r["id"]: r["nearest_key"] for r in relational.nearest_join(a, b, ["g"], "v", "w", "k", buckets).collect()}
+    for k, g, v in left:
+        near = [(abs(w - v), w, i) for i, h, w in right if h == g] if v is not None else []
+        assert got[k] == (min(near)[2] if near else None)
+    rows = spark.createDataFrame([(x, 1) for x in (5, 1, 3, 3, 9, 1)], "x int, n int")
+    assert sorted((r["x"], r["t"]) for r in relational.running_total(rows, "x", "n", "t", buckets).collect()) == [(1, 2), (1, 2), (3, 4), (3, 4), (5, 5), (9, 6)]
