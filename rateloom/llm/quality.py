@@ -34,12 +34,12 @@ from rateloom.llm.arrow import encoded, map_columns
 from rateloom.session import materialize, table
 
 ALPHA = 0.75
-CUTOFF = 120.0
+CUTOFF = 300.0
 MIN_GROUP = 100
 MAX_STEPS = 8
 DIM = 5
 #: The least spread of each statistic that counts as one.
-FLOORS = (0.1, 0.05, 0.25, 0.25, 0.5)
+FLOORS = (0.15, 0.05, 0.4, 0.4, 1.5)
 #: Median of the chi-square distribution with five degrees of freedom.
 CHI2_MEDIAN = 4.3515
 #: Characters that count as symbols, and the white space between words.
