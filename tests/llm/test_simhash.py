@@ -118,6 +118,28 @@ def test_similar_finds_copies_of_a_similarity_of_four_fifths(spark):
     assert kept == set(of.values())
 
 
+def components_of(spark, texts, leaf_size):
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], ROWS)
+    rows, found = simhash.similar(docs, leaf_size=leaf_size)
+    return {r["doc_id"]: r["component_id"] for r in rows.join(found, "node").collect()}
+
+
+def test_similar_finds_truncated_and_extended_copies(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 4)))
+    texts, pairs = [], []
+    for k in range(300):
+        own = [word() for _ in range(rng.randint(60, 300))]
+        share = rng.uniform(0.02, 0.18)
+        cut = own[: len(own) - int(share * len(own))]
+        copy = [cut, own + own[: int(share * len(own))], own + ["".join(rng.choices("qxz", k=6)) for _ in range(int(share * len(own)))]][k % 3]
+        pairs.append((len(texts), len(texts) + 1, jaccard(own, copy)))
+        texts += [own, copy]
+    of = components_of(spark, texts, 4096)
+    close = [(a, b) for a, b, j in pairs if j >= 0.8]
+    assert len(close) > 250 and all(of[a] == of[b] for a, b in close)
+
+
 def test_one_of_each_of_awkward_tables(spark):
     rows = [(1, None, None, None, None), (5, "", "", "", 0), (5, "", "", "", 0), (None, "a b c", "x", "y", 1), (None, "d e f", "x", "y", 1), (7, "z " * 4000, "x", "y", 1), (7, "z " * 4000, "x", "y", 1), (7, "other words stand here", "x", "y", 1), (8, "z " * 4000, "x", "y", 1)]
     docs = spark.createDataFrame(rows, ROWS).selectExpr("*", "1 AS node", "2 AS component_id")
