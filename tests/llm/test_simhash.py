@@ -140,6 +140,28 @@ def test_similar_finds_truncated_and_extended_copies(spark):
     assert len(close) > 250 and all(of[a] == of[b] for a, b in close)
 
 
+@pytest.mark.parametrize("leaf_size", [4, 4096])
+def test_similar_links_at_four_fifths_only(spark, leaf_size):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 4)))
+    texts = []
+    for _ in range(60):
+        own = [word() for _ in range(rng.randint(100, 200))]
+        texts += [own, *(edited(rng, own, rate) for rate in (0.01, 0.025, 0.03, 0.035, 0.04))]
+    root = list(range(len(texts)))
+    between = 0
+    for at in range(0, len(texts), 6):
+        for a in range(at, at + 6):
+            for b in range(a + 1, at + 6):
+                j = jaccard(texts[a], texts[b])
+                between += 0.65 <= j < 0.8
+                if j >= 0.8:
+                    low, high = sorted((root[a], root[b]))
+                    root = [low if r == high else r for r in root]
+    assert between > 100 and len(set(root)) < len(texts)
+    assert components_of(spark, texts, leaf_size) == dict(enumerate(root))
+
+
 def test_one_of_each_of_awkward_tables(spark):
     rows = [(1, None, None, None, None), (5, "", "", "", 0), (5, "", "", "", 0), (None, "a b c", "x", "y", 1), (None, "d e f", "x", "y", 1), (7, "z " * 4000, "x", "y", 1), (7, "z " * 4000, "x", "y", 1), (7, "other words stand here", "x", "y", 1), (8, "z " * 4000, "x", "y", 1)]
     docs = spark.createDataFrame(rows, ROWS).selectExpr("*", "1 AS node", "2 AS component_id")
