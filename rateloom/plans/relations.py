@@ -254,7 +254,7 @@ def sample_cap_search(spark, d):
     from rateloom.operators.solve import exact_partition
 
     keys = table(spark, d, "part").select("p_brand", "p_size").distinct()
-    keys = keys.withColumn("r", F.row_number().over(W.partitionBy("p_brand").orderBy("p_size")) - 1).where("r < 6")
+    keys = keys.withColumn("r", F.row_number().over(W.partitionBy("p_brand").orderBy("p_size")) - 1)
     a, b = keys.alias("a"), keys.alias("b")
     width = F.col("b.p_size") - F.col("a.p_size")
     zones = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("b.r") >= F.col("a.r"))).select(
