@@ -141,13 +141,13 @@ def hit_spans(text: str | None, hits: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b, _ in spans]
 
 
-def is_contaminated(documents: DataFrame, benchmark: DataFrame, into: str, *, text: str = "text", window: int = WINDOW, max_chunk_words: int = MAX_CHUNK_WORDS) -> DataFrame:
-    """The documents with a boolean column more: whether any window of the benchmark occurs."""
-    out = documents.withColumn(into, F.lit(False))
+def uncontaminated(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW, max_chunk_words: int = MAX_CHUNK_WORDS) -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with their own columns only."""
+    out = documents
     for k, rows in enumerate(chunks(benchmark, "item_id", "text", max_chunk_words)):
         if k:
             out = materialize(out, "decontam")  # one automaton in a worker at a time
-        out = out.withColumn(into, F.col(into) | hit_udf(scanner(rows, window))(F.col(text)))
+        out = out.where(~hit_udf(scanner(rows, window))(F.col(text)))
     return out
 
 

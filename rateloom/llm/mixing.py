@@ -4,11 +4,13 @@ Each source is one stream of words: its documents in a seeded order, laid end to
 last one also takes the remainder). Seats, one for each block to emit, go to sources by the highest quotients
 target / (2 k + 1), up to `max_repeat` seats a block. A source's seats go to its shards of blocks (block number modulo
 `MIX_SHARDS`) by the same rule with the shards' block counts as votes, which gives an integer quota for each source
-and shard. In a shard every block is emitted quota div blocks times, and a seeded permutation picks those emitted
-once more. A document takes the words of its blocks, times their emissions.
+and shard. In a shard every block is emitted quota div blocks times, and a seeded permutation (steps of a golden
+section from a seeded start, so that the picked lie apart) picks those emitted once more. A document takes the words of its blocks, times their emissions.
 
-The block length follows the smallest target: `PRECISION` blocks fit into it (1 to MAX_BLOCK words), so every
-source comes within a few parts of PRECISION of its target at any scale.
+The block length of a source is the largest power of two of which `PRECISION` blocks fit into its target (1 to
+MAX_BLOCK words; longer where a source would have more than 2^MOST_BLOCKS blocks), so every source comes within a few
+parts of PRECISION of its target, and a tiny source has short blocks without making those of others short. Sources with
+the same block length compete for seats of that length: equal-token blocks go by highest quotients among them.
 
 The stream positions are prefix sums on two levels: a source's documents are dealt to 4096 hash ranges, whose totals
 give offsets, and each range is summed by itself; no source, however large, is sorted in one task. The driver sees the
@@ -18,7 +20,8 @@ Highest quotients are found without walking seats one by one: a source's seats f
 quotients of at least 1/d, and d is bisected; the last few seats are dealt in order.
 
 Defined results: null texts have size 0; null sources are one source, last in order; a source of no words has target
-0; repeated rows are taken each for itself; an empty table gives no rows; other columns are ignored.
+0; repeated rows are taken each for itself, in the order of
+their texts' hashes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +42,11 @@ BUDGET_SHARE = 1.5
 MAX_REPEAT = 2
 PRECISION = 512
 MAX_BLOCK = 1024
+MOST_BLOCKS = 33
 MIX_SHARDS = 8
 RANGE_BITS = 12
 SEED = 20_240_501
+GOLDEN = 0.6180339887498949
 BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -96,27 +101,38 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     return given
 
 
+def block_length(target: float, size: int, precision: int = PRECISION) -> int:
+    """The largest power of two of which so many fit into the target, within its bounds."""
+    longest = max(MAX_BLOCK, 1 << max(0, size.bit_length() - MOST_BLOCKS))
+    return min(longest, 1 << max(0, int(target // precision).bit_length() - 1))
+
+
 def plan(totals: list[tuple[str | None, int]], *, precision: int = PRECISION, shards: int = MIX_SHARDS, seed: int = SEED) -> list[dict]:
     """For each source: target, block length, and per shard its blocks, quota and permutation. totals: (source, words)."""
     totals = sorted(totals, key=lambda x: (x[0] is None, (x[0] or "").encode()))
     sizes = [s for _, s in totals]
     targets = waterfill(sizes, [WEIGHTS[k % len(WEIGHTS)] for k in range(len(sizes))], BUDGET_SHARE * sum(sizes))
-    block = max(1, min(MAX_BLOCK, int(min([t for t in targets if t > 0], default=1) // precision)))
-    blocks = [max(1, s // block) if s else 0 for s in sizes]
+    lengths = [block_length(t, s, precision) for t, s in zip(targets, sizes, strict=True)]
+    blocks = [max(1, s // length) if s else 0 for s, length in zip(sizes, lengths, strict=True)]
     votes = [t * b / s if s else 0.0 for t, b, s in zip(targets, blocks, sizes, strict=True)]
-    quotas = sainte_lague(votes, round(sum(votes)), [MAX_REPEAT * b for b in blocks])
+    quotas = [0] * len(sizes)
+    for length in sorted(set(lengths)):
+        these = [k for k in range(len(sizes)) if lengths[k] == length]
+        given = sainte_lague([votes[k] for k in these], round(sum(votes[k] for k in these)), [MAX_REPEAT * blocks[k] for k in these])
+        for k, seats in zip(these, given, strict=True):
+            quotas[k] = seats
     out = []
-    for k, ((source, size), target, n, quota) in enumerate(zip(totals, targets, blocks, quotas, strict=True)):
+    for k, ((source, size), target, length, n, quota) in enumerate(zip(totals, targets, lengths, blocks, quotas, strict=True)):
         here = [n // shards + (j < n % shards) for j in range(shards)]
         seats = sainte_lague([float(h) for h in here], quota, [MAX_REPEAT * h for h in here])
         steps, shifts = [], []
         for j, h in enumerate(here):
-            step = (seed * 2_654_435_761 + 40_503 * (k * shards + j) + 12_345) % max(h, 1)
+            step = round(max(h, 1) * GOLDEN)
             while math.gcd(step, max(h, 1)) != 1:
                 step += 1
             steps.append(step % max(h, 1))
-            shifts.append((seed + 7_919 * (k * shards + j)) % max(h, 1))
-        out.append({"source": source, "source_size": size, "target": target, "block": block, "n_blocks": n, "here": here, "seats": seats, "step": steps, "shift": shifts})
+            shifts.append((seed * 2_654_435_761 + 7_919 * (k * shards + j)) % max(h, 1))
+        out.append({"source": source, "source_size": size, "target": target, "block": length, "n_blocks": n, "here": here, "seats": seats, "step": steps, "shift": shifts})
     return out
 
 
@@ -139,17 +155,21 @@ def positions(rows: DataFrame, seed: int) -> tuple[DataFrame, list[tuple[str | N
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     parts = materialize(parts.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))), "mix_ranges")
     totals = [(r[0], int(r[1])) for r in parts.groupBy("source").agg(F.sum("words")).collect()]
-    here = Window.partitionBy("source", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = Window.partitionBy("source", "range").orderBy("h", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumn("upto", F.sum("size").over(here)).alias("r").join(
         parts.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.range") == F.col("p.range")))
-    return summed.select("r.*", (F.col("p.offset") + F.col("r.upto") - F.col("r.size")).alias("begin")).drop("range", "upto"), totals
+    return summed.select("r.*", (F.col("p.offset") + F.col("r.upto") - F.col("r.size")).alias("begin")).drop("range", "upto", "text_key"), totals
 
 
-def mixed(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = (),
+def mixed(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False,
           precision: int = PRECISION, shards: int = MIX_SHARDS, seed: int = SEED) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, spans (from word, to word, copies), taken."""
+    """A row per document: doc_id, source, size, source_size, target, spans (from word, to word, copies), taken.
+
+    carry: the document's own columns come along as one struct, `row`, whatever their names are.
+    """
     spark = documents.sparkSession
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *keep,
+    row = [F.struct("*").alias("row")] if carry else []
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *row, F.xxhash64(F.col(text)).alias("text_key"),
                             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     placed, totals = positions(rows, seed)
     quotas = spark.createDataFrame(plan(totals, precision=precision, shards=shards, seed=seed), PLAN_SCHEMA)
@@ -167,7 +187,7 @@ def mixed(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     spans = F.when(F.col("size") > 0, F.transform(F.sequence(first_block, last_block), span)).otherwise(F.array().cast("array<struct<a:bigint,b:bigint,n:bigint>>"))
     joined = joined.withColumn("spans", spans)
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["b"] - s["a"]) * s["n"])
-    return joined.select("doc_id", "source", *keep, "size", "source_size", "target", "spans", taken.alias("taken"))
+    return joined.select("doc_id", "source", *(["row"] if carry else []), "size", "source_size", "target", "spans", taken.alias("taken"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -341,15 +341,15 @@ def one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     """The documents without near copies: of each component the row with the smallest id (then text) stays."""
     rows, found = similar(documents, doc_id=doc_id, text=text)
     keep = rows.join(found, "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
-    keep = materialize(keep.select(F.col("first.doc_id").alias("keep_id"), F.col("first.node").alias("keep_node")), "kept")
-    marked = documents.withColumn("_node", text_node(F.col(text)))
-    stay = marked.join(keep, F.col(doc_id).eqNullSafe(F.col("keep_id")) & (F.col("_node") == F.col("keep_node")), "left_semi")
-    repeated = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node")), "left_semi")
+    keep = materialize(keep.select("first.doc_id", "first.node"), "kept").alias("k")
+    mine = lambda d: F.col(f"d.{d}").eqNullSafe(F.col("k.doc_id"))
+    stay = documents.alias("d").join(keep, mine(doc_id) & (text_node(F.col(f"d.{text}")) == F.col("k.node")), "left_semi")
+    repeated = rows.alias("d").join(keep, mine("doc_id") & (F.col("d.node") == F.col("k.node")), "left_semi")
     if repeated.groupBy("doc_id", "node").count().where("count > 1").limit(1).count():  # rows that say the same
-        rest = [c for c in documents.columns if c not in (doc_id, text)]
-        picked = stay.groupBy(doc_id, "_node").agg(F.min(F.struct(text, *rest)).alias("row"))
-        return picked.select(*(F.col(c) if c == doc_id else F.col(f"row.{c}") for c in documents.columns))
-    return stay.drop("_node")
+        one = F.struct(F.struct("*").alias("row"), F.col(doc_id).alias("id"), text_node(F.col(text)).alias("node"))
+        picked = stay.select(one.alias("d")).groupBy("d.id", "d.node").agg(F.min_by("d.row", F.to_json("d.row")).alias("row"))
+        return picked.select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
+    return stay
 
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, leaf_size: int = LEAF_SIZE) -> DataFrame:

@@ -145,3 +145,25 @@ def test_emitted_texts_hold_the_taken_words():
     spans = [{"a": 0, "b": 2, "n": 1}, {"a": 2, "b": 3, "n": 0}, {"a": 3, "b": 5, "n": 2}]
     assert mixing.cut_words(text, spans) == ["a  b\nd e", "d e"]
     assert mixing.cut_words(text, [{"a": 0, "b": 5, "n": 2}]) == [text, text]
+
+
+def test_a_tiny_source_has_short_blocks_of_its_own():
+    big = [("big", 10**13), ("mid", 10**12)]
+    alone, beside = mixing.plan(big), mixing.plan([*big, ("tiny", 300)])
+    assert [p["block"] for p in beside[:2]] == [p["block"] for p in alone] and beside[2]["block"] == 1
+    for p in beside:
+        taken = sum(p["seats"]) * p["block"]
+        assert abs(taken - p["target"]) <= p["target"] / 256 + 2
+        assert all(s <= mixing.MAX_REPEAT * h for s, h in zip(p["seats"], p["here"]))
+        assert p["n_blocks"] <= 2**mixing.MOST_BLOCKS
+
+
+def test_picked_blocks_lie_apart():
+    p = mixing.plan([("a", 4_000_000), ("b", 1_000_000)])[0]
+    n, q = p["here"][0], p["seats"][0] % p["here"][0]
+    picked = [k for k in range(n) if (p["step"][0] * k + p["shift"][0]) % n < q]
+    assert len(picked) == q
+    for parts in (4, 16):
+        for j in range(parts):
+            inside = sum(j * n // parts <= k < (j + 1) * n // parts for k in picked)
+            assert abs(inside - q / parts) <= 3

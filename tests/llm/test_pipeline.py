@@ -73,3 +73,19 @@ def test_stages_bear_awkward_tables(spark):
         for _, stage in cp.STAGES:
             docs = cp.materialize(stage(spark, docs, SF), "test_stage")
         docs.count()
+
+
+def test_stages_bear_clashing_names_and_any_type(spark):
+    rows = [(1, None, None, None, None), (2, "", "", "", 0), (3, "w " * 3000, "x", "y", 1), (4, "clean text here", "x", "y", 1), (4, "clean text here", "x", "y", 1), (None, "a b", "x", None, 1), (9, "one two", "x", "z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = "size range begin target _text h spans row words d k node _node keep_id _hit hit hits _score score first text_key taken copies id".split()
+    docs = docs.selectExpr("*", *(f"{k} AS `{c}`" for k, c in enumerate(names)), "map('a', doc_id) AS m", "array(text) AS l", "1.5 AS `with.dot`")
+    docs = docs.withColumnRenamed("with.dot", "with_dot")
+    for name, stage in cp.STAGES[:-1]:
+        before, docs = docs, cp.materialize(stage(spark, docs, SF), "test_stage")
+        assert docs.columns == before.columns, name
+        for r in docs.collect():
+            assert [r[c] for c in names] == list(range(len(names)))
+            assert r["m"] == {"a": r["doc_id"]}
+    assert {r["doc_id"] for r in docs.collect()} >= {3, 4, 9}
+    assert cp.shard(spark, docs, SF).count() == docs.count()
