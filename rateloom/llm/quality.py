@@ -5,16 +5,25 @@ them give a vector of transformed statistics:
     ln(characters per word), sqrt(symbols per character), sqrt(repeated lines per line),
     sqrt(repeated words per word), ln(words).
 For each (lang, source) the minimum covariance determinant estimate is the mean and covariance of the `ALPHA` share of
-its documents with the smallest determinant. Concentration steps find it from a deterministic start (distances from
-medians in quartile ranges): estimate mean and covariance of the subset, take the documents with the smallest
-Mahalanobis distances as the next subset, repeat; a step never raises the determinant, and they stop when no group's
-falls by more than a thousandth. The covariance is regularised by a floor on each statistic's spread (FLOORS), for most
-texts have no symbol and no repeated line at all. Distances are scaled so that their median is that of a chi-square
-with five degrees of freedom; a document beyond `CUTOFF` is rejected.
+its documents with the smallest determinant. Concentration steps find it: estimate mean and covariance of the subset,
+take the documents with the smallest Mahalanobis distances as the next subset, repeat until no group's determinant falls
+by more than a thousandth. They run from `STARTS` deterministic starts at once (distances from medians in quartile
+ranges: their squared sum, their largest, and their squared sum without the length), and each group keeps the start that
+ends at the smallest determinant.
+
+The covariance is regularised by a floor on each statistic's spread, for most texts have no symbol and no repeated line
+at all. FLOORS are the smallest spreads that mean something: 5 % of a word's length, one symbol in 2,500 characters, one
+repeated line in eleven, one repeated window (ten words) in 250 words, a factor of 1.65 in length. Distances are scaled
+so that neither their median nor their `ALPHA` quantile exceeds that of a chi-square with five degrees of freedom; the
+cutoff is that chi-square's quantile at which fewer than one in a corpus of 1 / `FAMILYWISE` clean documents is rejected.
+Neither looks at any label. A statistic may be unable to reject by itself: with the scale s of its group (in the result),
+all lines repeated add 11 s, and a text e^n times the usual length adds 4 n^2 s.
 
 Every step runs over all documents and gathers only sums: moments by group, and histograms of distances on a grid of
-1/64 in the logarithm (the subset takes whole bins, so it is the share or slightly more). Groups of fewer than
-`MIN_GROUP` documents share one estimate; if that one is still smaller, nothing is rejected by distance.
+1/64 in the logarithm (the subset takes whole bins, so it is the share or slightly more; a step may then raise a
+determinant slightly, and the last is taken). Groups of fewer than `MIN_GROUP` documents, five for each dimension, can't
+bear an estimate of their own: they share one by language, and those that are still fewer one for the rest; if that is
+smaller yet, nothing is rejected by distance. A warning tells if `MAX_STEPS` are not enough.
 
 Defined results: null and empty texts have zero counts and fail the base rules; null languages and sources are groups
 of their own; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
@@ -22,6 +31,8 @@ of their own; repeated rows are judged alike; an empty table gives no rows; othe
 
 from __future__ import annotations
 
+import math
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -34,14 +45,13 @@ from rateloom.llm.arrow import encoded, map_columns
 from rateloom.session import materialize, table
 
 ALPHA = 0.75
-CUTOFF = 300.0
-MIN_GROUP = 100
-MAX_STEPS = 8
 DIM = 5
+MIN_GROUP = 5 * DIM
+MAX_STEPS = 30
+STARTS = 3
+FAMILYWISE = 1e-11
 #: The least spread of each statistic that counts as one.
-FLOORS = (0.15, 0.05, 0.4, 0.4, 1.5)
-#: Median of the chi-square distribution with five degrees of freedom.
-CHI2_MEDIAN = 4.3515
+FLOORS = (0.05, 0.02, 0.3, 0.2, 0.5)
 #: Characters that count as symbols, and the white space between words.
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -49,6 +59,19 @@ WINDOW = 5
 COUNTS = "n_words long, word_chars long, n_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 
+def chi_square(tail: float) -> float:
+    """The value that a chi-square with five degrees of freedom exceeds with this probability."""
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        x = (low + high) / 2
+        beyond = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+        low, high = (x, high) if beyond > tail else (low, x)
+    return low
+
+
+CUTOFF = chi_square(FAMILYWISE)
+
+
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words inside windows that occur twice or more; windows are compared exactly."""
     n = len(words) - window + 1
@@ -162,41 +185,66 @@ def start_distances(rows: DataFrame) -> DataFrame:
         *(F.max(F.when(F.col("dim") == i, F.col("median"))).alias(f"m{i}") for i in range(DIM)),
         *(F.max(F.when(F.col("dim") == i, F.greatest("spread", F.lit(FLOORS[i])))).alias(f"s{i}") for i in range(DIM)),
     )
-    d = reduce(lambda a, b: a + b, (F.pow((F.col(X[i]) - F.col(f"m{i}")) / F.col(f"s{i}"), 2) for i in range(DIM)))
-    return rows.join(materialize(wide, "mcd_start"), "key").select("key", *X, bin_of(d).alias("bin"))
+    parts = [F.pow((F.col(X[i]) - F.col(f"m{i}")) / F.col(f"s{i}"), 2) for i in range(DIM)]
+    total = lambda some: reduce(lambda a, b: a + b, some)
+    starts = F.posexplode(F.array(bin_of(total(parts)), bin_of(F.greatest(*parts)), bin_of(total(parts[:-1])))).alias("start", "bin")
+    return rows.join(materialize(wide, "mcd_start"), "key").select("key", *X, starts).select(attempt("start"), *X, "bin")
+
+
+def attempt(start: str) -> Column:
+    """The group's key with the number of the start."""
+    return F.concat(F.coalesce("key", F.lit("")), F.lit("#"), F.col(start).cast("string")).alias("key")
 
 
 def outlier_distances(vectors: DataFrame, *, alpha: float = ALPHA, max_steps: int = MAX_STEPS) -> tuple[DataFrame, DataFrame]:
-    """vectors: key, x0.. x4. Gives the estimates by key (mean, inverse, n) and the factor that scales distances."""
+    """vectors: key (not null), x0.. x4. Gives the estimates by key (mean, inverse, n, logdet) and the factor that scales distances."""
     rows = start_distances(vectors)
+    tried = vectors.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1)))).select(attempt("start"), *X)
     before = None
     for _ in range(max_steps):
         subset = rows.join(quantile_bins(rows, alpha), "key").where("bin <= limit")
         fit = fitted(subset)
-        rows = vectors.join(fit.select("key", "mean", "inverse"), "key").select("key", *X, bin_of(mahalanobis()).alias("bin"))
         if before is not None:
             fall = fit.select("key", "logdet").join(before, "key").agg(F.max(F.col("old") - F.col("logdet"))).first()[0]
             if fall is None or fall < 1e-3:
                 break
+        rows = tried.join(fit.select("key", "mean", "inverse"), "key").select("key", *X, bin_of(mahalanobis()).alias("bin"))
         before = fit.select("key", F.col("logdet").alias("old"))
-    medians = quantile_bins(rows, 0.5)
-    scale = medians.select("key", (F.lit(CHI2_MEDIAN) / F.exp((F.col("limit") + 1) / 64)).alias("scale"))
-    return fit, scale
+    else:
+        warnings.warn(f"concentration steps did not converge within {max_steps}", stacklevel=2)
+    own = F.regexp_replace("key", "#[0-9]+$", "")
+    best = fit.groupBy(own.alias("key")).agg(F.min(F.struct("logdet", "n", "mean", "inverse")).alias("b")).select("key", "b.*")
+    best = materialize(best, "mcd_best")
+    rows = vectors.join(best.select("key", "mean", "inverse"), "key").select("key", *X, bin_of(mahalanobis()).alias("bin"))
+    factor = lambda share: quantile_bins(rows, share).select("key", (F.lit(chi_square(1 - share)) / F.exp((F.col("limit") + 1) / 64)).alias(f"at{share * 100:.0f}"))
+    scale = factor(0.5).join(factor(alpha), "key").select("key", F.least("at50", f"at{alpha * 100:.0f}").alias("scale"))
+    return best, scale
+
+
+def keyed_by_group(rows: DataFrame, min_group: int) -> DataFrame:
+    """rows with `key`: language and source, or the language where those are too few, or the rest."""
+    passed = rows.where(~F.col("base_failed"))
+    own = F.to_json(F.struct("lang", "source"))
+    wide = F.to_json(F.struct("lang"))
+    sizes = materialize(passed.groupBy(own.alias("own")).agg(F.count("*").alias("n_own")), "quality_groups")
+    named = rows.withColumns({"own": own, "wide": wide}).join(sizes, "own", "left")
+    few = F.coalesce(F.col("n_own") < min_group, F.lit(True))
+    left = named.where(~F.col("base_failed") & few).groupBy("wide").agg(F.count("*").alias("n_wide"))
+    named = named.join(materialize(left, "quality_languages"), "wide", "left")
+    return named.withColumn("key", F.when(~few, F.col("own")).when(F.col("n_wide") >= min_group, F.col("wide")).otherwise(F.lit("rest")))
 
 
 def quality(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
             cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
-    """A row per document: the counts, base_failed, distance (null where there is no estimate) and kept."""
+    """A row per document: the counts, base_failed, distance and its scale (null where there is no estimate) and kept."""
     rows = materialize(counted(documents, doc_id=doc_id, text=text, lang=lang, source=source), "quality_counts")
-    named = rows.withColumn("own", F.to_json(F.struct("lang", "source")))
-    sizes = materialize(named.where(~F.col("base_failed")).groupBy("own").agg(F.count("*").alias("n_own")), "quality_groups")
-    keyed = named.join(sizes, "own", "left").withColumn("key", F.when(F.col("n_own") >= min_group, F.col("own")).otherwise(F.lit("rest")))
+    keyed = keyed_by_group(rows, min_group)
     keyed = materialize(keyed.select("doc_id", *rows.columns[3:], "key", *(x.alias(n) for x, n in zip(statistics(), X, strict=True))), "quality_vectors")
     fit, scale = outlier_distances(keyed.where(~F.col("base_failed")).select("key", *X))
     judged = keyed.join(fit.where(F.col("n") >= min_group * ALPHA).join(scale, "key"), "key", "left")
     judged = judged.withColumn("distance", mahalanobis() * F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
-    return judged.select("doc_id", *rows.columns[3:], "distance", kept.alias("kept"))
+    return judged.select("doc_id", *rows.columns[3:], "distance", "scale", kept.alias("kept"))
 
 
 def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

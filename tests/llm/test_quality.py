@@ -1,6 +1,6 @@
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -67,3 +67,58 @@ def test_awkward_tables(spark):
     assert found == {(1, 0, False), (2, 0, False), (3, 30000, False), (4, 11, True), (None, 2, False)}
     assert quality.quality(docs, min_group=1).count() == 6
     assert quality.quality(docs.limit(0)).count() == 0
+
+
+def test_cutoff_is_the_quantile_of_a_chi_square():
+    rng = np.random.default_rng(1)
+    draws = (rng.normal(size=(400_000, 5)) ** 2).sum(axis=1)
+    for tail in (0.5, 0.25, 0.01, 0.001):
+        assert abs((draws > quality.chi_square(tail)).mean() - tail) < 3 * (tail / 400_000) ** 0.5
+
+
+def plain_mcd(x, alpha=quality.ALPHA):
+    """Concentration on single rows (no histograms) from the same starts, and the judgement by the same scale."""
+    floors = np.array(quality.FLOORS)
+    n = len(x)
+    h = int(np.ceil(n * alpha))
+    rank = lambda k, share: np.sort(x[:, k])[int(np.ceil(n * share)) - 1]
+    middle = np.array([rank(k, 0.5) for k in range(5)])
+    spread = np.maximum([(rank(k, 0.75) - rank(k, 0.25)) / 1.349 for k in range(5)], floors)
+    z = ((x - middle) / spread) ** 2
+    best = None
+    for d in (z.sum(axis=1), z.max(axis=1), z[:, :4].sum(axis=1)):
+        for _ in range(50):
+            some = x[d <= np.sort(d)[h - 1]]
+            cov = np.cov(some.T, bias=True) + np.diag(floors**2)
+            new = np.einsum("ni,ij,nj->n", x - some.mean(axis=0), np.linalg.inv(cov), x - some.mean(axis=0))
+            if np.allclose(new, d):
+                break
+            d = new
+        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
+            best = np.linalg.slogdet(cov)[1], d
+    d = best[1]
+    return d * min(quality.chi_square(1 - s) / np.sort(d)[int(np.ceil(n * s)) - 1] for s in (0.5, alpha))
+
+
+def test_query_against_a_plain_estimate(spark):
+    found = quality.op1_quality_outliers(spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas().set_index("doc_id")
+    rows = defaultdict(list)
+    for i, r in docs.iterrows():
+        n_words, word_chars, n_chars, n_symbols, n_lines, n_dup, n_rep = quality.text_counts(r.text)
+        if n_words >= 10 and 100 * n_rep <= 20 * n_words:
+            x = [np.log(word_chars / n_words), (n_symbols / n_chars) ** 0.5, (n_dup / n_lines) ** 0.5, (n_rep / n_words) ** 0.5, np.log(n_words)]
+            rows[r.lang, r.source].append((i, x))
+    groups = defaultdict(list)
+    for (lang, source), some in rows.items():
+        groups[(lang, source) if len(some) >= quality.MIN_GROUP else lang] += some
+    rest = [k for k, some in groups.items() if len(some) < quality.MIN_GROUP]
+    groups["rest"] = [r for k in rest for r in groups.pop(k)]
+    judged = same = 0
+    for some in groups.values():
+        if len(some) >= quality.MIN_GROUP:
+            far = plain_mcd(np.array([x for _, x in some])) > quality.CUTOFF
+            judged += len(some)
+            same += sum(bool(found.kept[i]) != bool(f) for (i, _), f in zip(some, far))
+    assert judged > 500 and same > 0.99 * judged
+    assert not found.kept[found.base_failed].any()
