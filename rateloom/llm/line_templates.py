@@ -1,17 +1,25 @@
 """Line dedup by a log-template tree: templates that recur across documents are dropped, as DataFrame expressions only.
 
 Tree. A line is parsed at fixed depth: the number of its tokens (split at blanks), then its first `DEPTH` tokens. Tokens
-with a digit are variable fields from the start and read `<*>`. In a leaf, a token is fixed at its position if it
-stands there in at least `FIXED_SHARE` of the leaf's texts; any other is a variable field. A line's template is its
-tokens with the variable ones as `<*>`; it needs at least `CONSTANT` of its tokens fixed. A line that recurs as it
-stands (digits aside) is a template without variable fields.
+with a digit are variable fields from the start and read `<*>`. A line that recurs as it stands (digits aside) is a
+template without variable fields, and takes no further part.
+
+The other lines of a leaf generalise by how often their tokens stand at their places. A token has level j if it stands at
+its place in `MIN_DOCS` * 2^j or more of the leaf's texts (its highest such j). At level j a line's template is its
+tokens of level j or more, the rest `<*>`; it needs at least `CONSTANT` of its tokens constant. So a line has a template
+for each level that its tokens have, from the most special to the most general: of many templates that share a leaf each
+is seen at the level of its own texts, however busy the leaf is, and a field value that recurs by chance doesn't hide the
+template with the field.
 
 A template found in `MIN_DOCS` different texts or more is dropped: all its lines go from all documents. Texts are
-counted, not rows, so exact copies of a document don't make its lines boilerplate. Lines of fewer than `MIN_TOKENS`
+counted, not rows, so exact copies of a document don't make its lines boilerplate. A variant in fewer than `MIN_DOCS` texts stays if the
+place where it differs is constant, at the template's own level, in the others. Lines of fewer than `MIN_TOKENS`
 tokens are never dropped, nor is a line of blanks.
 
 Lines, leaves and texts are known by 64-bit hashes. Counting distinct texts takes two partial aggregations, so a line
-that a third of all texts holds is summed on the map side and no task sees its rows together.
+that a third of all texts holds is summed on the map side and no task sees its rows together. Tokens meet their levels
+in a broadcast where there are few (`BROADCAST_ROWS`), else in a join whose small side is repeated `SALT` times, so that a
+token of a third of all lines is many tasks. A line of any length costs in proportion to its tokens.
 
 Defined results: null and empty texts have no lines and stay as they are; repeated rows are cleaned alike; an empty
 table gives no rows; other columns are ignored.
@@ -27,12 +35,12 @@ from rateloom.session import materialize, table
 DEPTH = 3
 MIN_DOCS = 8
 MIN_TOKENS = 4
-FIXED_SHARE = 0.3
 CONSTANT = 0.7
 VARIABLE = "<*>"
 #: A token with a digit, tried at token starts only.
 NUMBERED = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+"
 BROADCAST_ROWS = 500_000
+SALT = 32
 
 
 def masked(text: Column) -> Column:
@@ -74,25 +82,32 @@ def templates(documents: DataFrame, *, text: str = "text", min_docs: int = MIN_D
     often = materialize(recurring(both, ["key"], min_docs), "often")
     whole = compact.join(small(often.select("key")), "key", "left_semi").select("doc", "at")
     # variable fields: only leaves that recur can hold a recurring template
-    leaves = often.select(F.col("key").alias("leaf"), F.col("docs").alias("leaf_docs"))
-    inside = base.join(small(leaves), "leaf").join(small(often.select("key")), "key", "left_anti")
-    inside = materialize(inside.select("doc", "at", "line", "n", "leaf", "leaf_docs"), "inside")
-    tokens = inside.select("doc", "leaf", "leaf_docs", "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    tokens = tokens.select("doc", "leaf", "leaf_docs", "n", "place", F.xxhash64("token").alias("token"))
-    fixed = recurring(tokens, ["leaf", "leaf_docs", "n", "place", "token"], min_docs).where(F.col("docs") >= F.col("leaf_docs") * FIXED_SHARE)
-    # at most 1 / FIXED_SHARE tokens a place, so a leaf's list is bounded by the length of its lines
-    listed = fixed.groupBy("leaf", "n").agg(F.collect_set(F.struct("place", "token")).alias("fixed"), F.count_distinct("place").alias("places"))
-    listed = materialize(listed.where(F.col("places") >= F.col("n") * CONSTANT).select("leaf", "fixed"), "fixed")
-    line_tokens = F.split("line", " ")
-    kept = F.transform(line_tokens, lambda t, i: F.when(F.array_contains("fixed", F.struct(i.alias("place"), F.xxhash64(t).alias("token"))), t).otherwise(F.lit(VARIABLE)))
-    shaped = inside.join(small(listed), "leaf").withColumn("template", kept)
-    constant = F.size(F.filter("template", lambda t: t != VARIABLE))
-    shaped = shaped.where(constant >= F.col("n") * CONSTANT).select("doc", "at", F.array_join("template", " ").alias("template"))
-    shaped = materialize(shaped.withColumn("key", F.xxhash64("template")), "shaped")
+    leaves = often.select(F.col("key").alias("leaf"))
+    inside = base.join(small(leaves), "leaf", "left_semi").join(small(often.select("key")), "key", "left_anti")
+    inside = materialize(inside.select("doc", "at", "line", "n", "leaf").distinct(), "inside")  # of repeated rows one
+    tokens = inside.select("doc", "at", "leaf", "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
+    tokens = tokens.where(F.col("token") != VARIABLE).select("doc", "at", "n", F.xxhash64("leaf", "place", "token").alias("spot"), "place")
+    counts = recurring(tokens, ["spot"], min_docs)
+    levels = materialize(counts.select("spot", F.floor(F.log2(F.col("docs") / min_docs) + 1e-9).cast("int").alias("level")), "levels")
+    leveled = with_level(tokens, levels).groupBy("doc", "at", "n").agg(F.array_sort(F.collect_list(F.struct("place", "spot", "level"))).alias("fixed"))
+    leveled = leveled.where(F.size("fixed") >= F.col("n") * CONSTANT)
+    each = leveled.select("doc", "at", "n", "fixed", F.explode(F.array_distinct(F.col("fixed.level"))).alias("least"))
+    each = each.withColumn("fixed", F.filter("fixed", lambda t: t["level"] >= F.col("least"))).where(F.size("fixed") >= F.col("n") * CONSTANT)
+    shaped = materialize(each.select("doc", "at", F.xxhash64(F.col("fixed.spot"), "n").alias("key"), F.col("fixed.place").alias("places")), "shaped")
     again = materialize(recurring(shaped, ["key"], min_docs), "templates")
     general = shaped.join(small(again), "key", "left_semi").select("doc", "at")
-    named = shaped.join(small(again), "key").groupBy("key").agg(F.min("template").alias("template"), F.max("docs").alias("docs"))
-    return whole.union(general), named
+    example = shaped.join(small(again), "key").groupBy("key").agg(F.min(F.struct("doc", "at", "places")).alias("one"), F.max("docs").alias("docs"))
+    lines = example.select("one.*", "docs").join(inside, ["doc", "at"]).withColumn("line", F.split("line", " "))
+    wording = F.transform("line", lambda t, i: F.when(F.array_contains("places", i), t).otherwise(F.lit(VARIABLE)))
+    return whole.union(general), lines.select(F.array_join(wording, " ").alias("template"), "docs").distinct()
+
+
+def with_level(tokens: DataFrame, levels: DataFrame) -> DataFrame:
+    """The tokens that have a level, with it."""
+    if levels.count() <= BROADCAST_ROWS:
+        return tokens.join(F.broadcast(levels), "spot")
+    salted = levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return tokens.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(SALT)).cast("int")).join(salted, ["spot", "salt"]).drop("salt")
 
 
 def cleaned(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -121,16 +136,16 @@ lines AS (SELECT text, unnest(range(len(l))) AS spot, unnest(l) AS raw FROM (SEL
 tok AS (SELECT text, spot, list_transform(string_split(raw, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{VARIABLE}' ELSE t END) AS w FROM lines),
 uses AS (SELECT text, spot, w, len(w) AS n, array_to_string(w, ' ') AS line, len(w) || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf FROM tok WHERE len(w) >= {MIN_TOKENS} AND trim(array_to_string(w, ' ')) <> ''),
 whole AS (SELECT line FROM uses GROUP BY line HAVING count(DISTINCT text) >= {MIN_DOCS}),
-leaves AS (SELECT leaf, count(DISTINCT text) AS docs FROM uses GROUP BY leaf HAVING count(DISTINCT text) >= {MIN_DOCS}),
-inside AS (SELECT u.*, docs FROM uses u JOIN leaves USING (leaf) WHERE NOT EXISTS (SELECT 1 FROM whole x WHERE x.line = u.line)),
-tokens AS (SELECT text, spot, leaf, docs, n, unnest(range(1, n + 1)) AS place, unnest(w) AS token FROM inside),
-fixed AS (SELECT leaf, n, place, token FROM tokens GROUP BY leaf, docs, n, place, token HAVING count(DISTINCT text) >= {MIN_DOCS} AND count(DISTINCT text) >= docs * {FIXED_SHARE}::DOUBLE),
-good AS (SELECT leaf FROM fixed GROUP BY leaf, n HAVING count(DISTINCT place) >= n * {CONSTANT}::DOUBLE),
-shaped AS (SELECT text, spot, string_agg(CASE WHEN f.token IS NULL THEN '{VARIABLE}' ELSE t.token END, ' ' ORDER BY t.place) AS template
-  FROM tokens t JOIN good USING (leaf) LEFT JOIN fixed f ON f.leaf = t.leaf AND f.place = t.place AND f.token = t.token
-  GROUP BY text, spot, t.n HAVING count(*) FILTER (WHERE f.token IS NOT NULL AND f.token <> '{VARIABLE}') >= t.n * {CONSTANT}::DOUBLE),
-again AS (SELECT template FROM shaped GROUP BY template HAVING count(DISTINCT text) >= {MIN_DOCS}),
-drops AS (SELECT text, list(DISTINCT spot) AS dropped FROM (SELECT text, spot FROM uses JOIN whole USING (line) UNION ALL SELECT text, spot FROM shaped JOIN again USING (template)) GROUP BY text),
+leaves AS (SELECT leaf FROM uses GROUP BY leaf HAVING count(DISTINCT text) >= {MIN_DOCS}),
+inside AS (SELECT u.* FROM uses u JOIN leaves USING (leaf) WHERE NOT EXISTS (SELECT 1 FROM whole x WHERE x.line = u.line)),
+tokens AS (SELECT text, spot, leaf, n, unnest(range(1, n + 1)) AS place, unnest(w) AS token FROM inside),
+levels AS (SELECT leaf, place, token, CAST(floor(log2(count(DISTINCT text) / {MIN_DOCS}.0) + 1e-9) AS INT) AS level FROM tokens WHERE token <> '{VARIABLE}' GROUP BY leaf, place, token HAVING count(DISTINCT text) >= {MIN_DOCS}),
+leveled AS (SELECT text, spot, leaf, n, place, token, level FROM tokens JOIN levels USING (leaf, place, token)),
+least AS (SELECT DISTINCT text, spot, level AS least FROM leveled),
+shaped AS (SELECT text, spot, leaf, least, string_agg(place || ':' || token, ' ' ORDER BY place) AS template FROM leveled JOIN least USING (text, spot)
+  WHERE level >= least GROUP BY text, spot, leaf, n, least HAVING count(*) >= n * {CONSTANT}::DOUBLE),
+again AS (SELECT leaf, template FROM shaped GROUP BY leaf, template HAVING count(DISTINCT text) >= {MIN_DOCS}),
+drops AS (SELECT text, list(DISTINCT spot) AS dropped FROM (SELECT text, spot FROM uses JOIN whole USING (line) UNION ALL SELECT text, spot FROM shaped JOIN again USING (leaf, template)) GROUP BY text),
 parts AS (SELECT doc_id, d.text, string_split(d.text, chr(10)) AS l, dropped FROM documents d LEFT JOIN drops x ON x.text = d.text)
 SELECT doc_id, CAST(coalesce(len(list_filter(l, lambda x: trim(x) <> '')), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
   CASE WHEN dropped IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(len(l)), lambda k: NOT list_contains(dropped, k)), lambda k: l[k + 1]), chr(10)) END AS text

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -27,24 +28,21 @@ def brute(texts, min_docs=lt.MIN_DOCS):
     rest = [r for r in rows if len(whole[r[2]]) < min_docs and len(leaf[leaf_of(r[2])]) >= min_docs]
     token = defaultdict(set)
     for t, _, x in rest:
+        f = leaf_of(x)
         for i, w in enumerate(x.split(" ")):
-            token[leaf_of(x), i, w].add(t)
-    fixed = {k for k, v in token.items() if len(v) >= min_docs and len(v) >= len(leaf[k[0]]) * lt.FIXED_SHARE}
-    places = defaultdict(set)
-    for f, i, _ in fixed:
-        places[f].add(i)
-    shape, found = {}, defaultdict(set)
+            token[f, i, w].add(t)
+    shapes, found = defaultdict(set), defaultdict(set)
     for t, k, x in rest:
         f, w = leaf_of(x), x.split(" ")
-        if len(places[f]) < len(w) * lt.CONSTANT:
-            continue
-        s = [y if (f, i, y) in fixed else "<*>" for i, y in enumerate(w)]
-        if sum(y != "<*>" for y in s) >= len(w) * lt.CONSTANT:
-            shape[t, k] = " ".join(s)
-            found[shape[t, k]].add(t)
+        level = [-1 if y == "<*>" else int(math.log2(len(token[f, i, y]) / min_docs) // 1) for i, y in enumerate(w)]
+        for least in {v for v in level if v >= 0}:
+            s = tuple(y if v >= least else "<*>" for y, v in zip(w, level))
+            if sum(y != "<*>" for y in s) >= len(w) * lt.CONSTANT:
+                shapes[t, k].add((f, s))
+                found[f, s].add(t)
     out = defaultdict(set)
     for t, k, x in rows:
-        if len(whole[x]) >= min_docs or len(found.get(shape.get((t, k)), ())) >= min_docs:
+        if len(whole[x]) >= min_docs or any(len(found[s]) >= min_docs for s in shapes[t, k]):
             out[t].add(k)
     return out
 
@@ -81,6 +79,42 @@ def test_whole_table(spark):
     assert sum(r[2] > 0 for r in got) > 10
 
 
+def test_templates_of_a_busy_leaf_go(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = [f"We at home keep the same old lines here {'' if k else 'x'}\n{word()}" for k in range(700)]
+    for k in range(240):  # six templates in the leaf of the exact line above, each with two fields
+        a = "abcdef"[k % 6]
+        texts.append(f"We at home {a}one {a}two {a}three {a}four {word()} {a}five {word()}\n{word()}")
+    texts += [f"We at home " + " ".join(word() for _ in range(7)) for _ in range(50)]  # prose in the same leaf
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], ROWS)
+    got = {r[0]: r[2] for r in check(docs)}
+    assert all(got[k] == 1 for k in range(700, 940)) and not any(got[k] for k in range(940, 990))
+    assert sum(got[k] for k in range(700)) >= 699
+
+
+def test_a_value_that_recurs_does_not_hide_its_template(spark):
+    names = ["ann"] * 7 + ["bob"] * 5 + [f"{c}x" for c in "abcdefghijklmnopqrst"]
+    texts = [f"Posted by user {w} on this {'good' if w == 'ann' else 'fine' if k % 3 else 'old'} site\n{'ab' * k}" for k, w in enumerate(names)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], ROWS)
+    dropped = {r[0]: r[2] for r in check(docs)}
+    assert all(dropped[k] == 1 for k in range(7, 32))
+
+
+def test_a_very_long_line_costs_in_proportion(spark):
+    words = " ".join(["ab", "cd", "ef", "gh"] * 5000)
+    texts = [f"{words} end{'abcdefghijkl'[k]} over" for k in range(12)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], ROWS)
+    assert {r[2] for r in check(docs)} == {1}
+
+
+def test_salted_levels_equal_broadcast_ones(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted(map(tuple, lt.cleaned(docs).collect()))
+    monkeypatch.setattr(lt, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, lt.cleaned(docs).collect())) == want
+
+
 def test_templates_are_named(spark):
     texts = [f"Posted by user {'abcdefghijklmnop'[k]}x on this site today" for k in range(12)]
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], ROWS)
