@@ -1,16 +1,18 @@
 """License scans: a positional index of the rarest license words, over documents as DataFrame expressions only.
 
-Template. Each license notice is a sequence of words with a label and key phrases that must stand in it. From the
-document frequencies of the templates' words over all documents, each template keeps its `ANCHORS` words of highest
-IDF with their positions; word -> [(template, position)] is the index.
+Template. Each license notice is a sequence of words with a label and key phrases that must stand in it. Document
+frequencies of the templates' words over all documents give their IDF. The index has, for each rare word (one of an IDF of
+`MIN_IDF` or more, that is, in at most a fifth of the documents), its postings: every (template, position) at which it
+stands. A template without a rare word is posted by its rarest.
 
-Search. Each rare word found at place p in a document posts the start p - position for each template that has it.
-Starts are sorted and counted: a template stands where at least `SHARE` of its anchors agree on one start, so words in
-between may differ. It counts if its key phrases stand at their places behind that start.
+Search. A file's words of highest IDF, those that are in the index, are looked up, each place p of one posting the start
+p - position for every posting of the word. Starts are sorted and counted: a template stands where at least `SHARE` of
+its postings agree on one start, so words in between may differ. It counts if its key phrases stand at their places
+behind that start.
 
 The base rules count four phrases of consecutive words. Their labels stay whatever the templates say.
 
-Score: the largest share of anchors that a verified template has; at least 0.5 where a base phrase stands; else 0.
+Score: the largest share of postings that a verified template has; at least 0.5 where a base phrase stands; else 0.
 
 Texts are lower-cased in A-Z only (the one other letter that lower() turns into ASCII, the Kelvin sign, is taken out of
 its way first). A document is one row throughout: there is no join, no shuffle of texts and no Python; only the
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rateloom.session import table
 
-ANCHORS = 6
+MIN_IDF = math.log(5)
 SHARE = 0.75
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -59,6 +61,12 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license"]),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["will the authors be held liable"]),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["any person or organization obtaining a copy"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license 2 0"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
 
@@ -108,25 +116,25 @@ def document_frequencies(texts: DataFrame) -> tuple[dict[str, int], int]:
     return {r["word"]: r["count"] for r in rows if r["word"]}, total
 
 
-def anchors(frequency: dict[str, int], total: int, size: int = ANCHORS) -> list[list[tuple[str, int]]]:
-    """For each template its rarest words with their positions; ties go to the earlier word."""
-    idf = lambda w: math.log((total + 1) / (frequency.get(w, 0) + 1))
+def postings(frequency: dict[str, int], total: int) -> list[list[tuple[str, int]]]:
+    """For each template its rare words with their positions; the rarest (ties: the first) if none is."""
     out = []
     for _, wording, _ in TEMPLATES:
         words = wording.split()
-        ranked = sorted(range(len(words)), key=lambda k: (-idf(words[k]), k))[:size]
-        out.append([(words[k], k) for k in sorted(ranked)])
+        rare = [k for k, w in enumerate(words) if frequency.get(w, 0) * round(math.exp(MIN_IDF)) <= total]
+        rare = rare or [min(range(len(words)), key=lambda k: (frequency.get(words[k], 0), k))]
+        out.append([(words[k], k) for k in rare])
     return out
 
 
 def candidates(words: Column, index: list[list[tuple[str, int]]]) -> Column:
-    """Array of (template, start, share of anchors) for starts on which enough anchors agree."""
-    postings: dict[str, list[tuple[int, int]]] = {}
+    """Array of (template, start, share of anchors) for starts on which enough postings agree."""
+    by_word: dict[str, list[tuple[int, int]]] = {}
     for t, listed in enumerate(index):
         for w, k in listed:
-            postings.setdefault(w, []).append((t, k))
-    lookup = F.create_map(*(x for w, at in sorted(postings.items()) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in at)))))
-    rare = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(sorted(postings)))
+            by_word.setdefault(w, []).append((t, k))
+    lookup = F.create_map(*(x for w, at in sorted(by_word.items()) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in at)))))
+    rare = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(sorted(by_word)))
     posted = F.flatten(F.transform(rare, lambda s: F.transform(F.element_at(lookup, s["w"]), lambda a: F.struct(a["t"].alias("t"), (s["i"] - a["k"]).alias("s")))))
     need = F.array(*(F.lit(max(1, math.ceil(SHARE * len(listed)))) for listed in index))
     full = F.array(*(F.lit(float(len(listed))) for listed in index))
@@ -161,16 +169,15 @@ def scan(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     """A row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches."""
     base = documents.select(F.col(doc_id).alias("doc_id"), spaced(F.col(text)).alias("spaced"))
     frequency, total = document_frequencies(base.select("spaced"))
-    index = anchors(frequency, total)
+    index = postings(frequency, total)
     rows = base.withColumn("n_words", (blanks(F.col("spaced")) / 2).cast("long"))
     for _, label in BASE:
         phrase = next(p for p, x in BASE if x == label)
         rows = rows.withColumn(f"at_{label}", places(F.col("spaced"), phrase))
     every = sorted({w for listed in index for w, _ in listed})
-    needed = reduce(lambda a, b: a | b, (F.contains(F.col("spaced"), F.lit(needle(w))) for w in every))
-    rows = rows.withColumn("words", F.when(needed, words_of(F.col("spaced"))))
+    rows = rows.withColumn("words", words_of(F.col("spaced")))
     found = F.filter(candidates(F.col("words"), index), lambda c: verified(F.col("words"), c))
-    rows = rows.withColumn("matches", F.coalesce(F.when(F.col("words").isNotNull(), found), F.array().cast("array<struct<t:int,s:int,share:double>>")))
+    rows = rows.withColumn("matches", F.when(F.exists("words", lambda w: w.isin(every)), found).otherwise(F.array().cast("array<struct<t:int,s:int,share:double>>")))
     at = [F.col(f"`at_{label}`") for _, label in BASE]
     base_labels = F.array_compact(F.array(*(F.when(c.isNotNull(), F.lit(label)) for c, (_, label) in zip(at, BASE, strict=True))))
     names = literal_words([label for label, _, _ in TEMPLATES])
@@ -193,7 +200,7 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 def sql() -> str:
-    """The same scan in DuckDB: anchors by document frequency, starts by counting, key phrases by joining their words."""
+    """The same scan in DuckDB: postings by document frequency, starts by counting, key phrases by joining their words."""
     words, phrases, labels = [], [], []
     for t, (label, wording, keys) in enumerate(TEMPLATES):
         inside = wording.split()
@@ -210,7 +217,8 @@ spot AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM w),
 tw AS (SELECT * FROM {_values(words, 't, k, word')}), ph AS (SELECT * FROM {_values(phrases, 't, p, k, word')}),
 lab AS (SELECT * FROM {_values(labels, 't, label')}), bp AS (SELECT * FROM {_values(base, 'label, k, word, size')}),
 df AS (SELECT word, count(DISTINCT doc_id) AS df FROM spot WHERE word IN (SELECT word FROM tw) GROUP BY word),
-anchor AS (SELECT t, k, word, count(*) OVER (PARTITION BY t) AS full_size FROM (SELECT tw.*, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), k) AS rn FROM tw LEFT JOIN df USING (word)) WHERE rn <= {ANCHORS}),
+ranked AS (SELECT tw.*, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), k) AS rn FROM tw LEFT JOIN df USING (word)),
+anchor AS (SELECT t, k, word, count(*) OVER (PARTITION BY t) AS full_size FROM ranked WHERE rn = 1 OR df * {round(math.exp(MIN_IDF))} <= (SELECT count(*) FROM documents)),
 starts AS (SELECT doc_id, t, i - k AS s, count(*) / CAST(max(full_size) AS DOUBLE) AS share FROM spot JOIN anchor USING (word) GROUP BY ALL HAVING count(*) >= ceil({SHARE} * max(full_size))),
 seen AS (SELECT s.doc_id, s.t, s.s, count(*) AS hit FROM starts s JOIN ph ON ph.t = s.t JOIN spot ON spot.doc_id = s.doc_id AND spot.i = s.s + ph.k AND spot.word = ph.word GROUP BY ALL),
 good AS (SELECT s.* FROM starts s JOIN seen USING (doc_id, t, s) WHERE hit = (SELECT count(*) FROM ph WHERE ph.t = s.t)),

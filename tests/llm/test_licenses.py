@@ -36,7 +36,7 @@ def brute(text, index):
 def check(docs):
     rows = docs.collect()
     df = Counter(x for r in rows for x in set(words(r["text"])))
-    index = lic.anchors(df, len(rows))
+    index = lic.postings(df, len(rows))
     found = lic.scan(docs).drop("matches").collect()
     got = sorted((tuple(r) for r in found), key=str)
     want = sorted(((r["doc_id"], *brute(r["text"], index)) for r in rows), key=str)
