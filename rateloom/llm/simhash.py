@@ -1,12 +1,15 @@
 """SimHash near-duplicates: all pairs of fingerprints within a Hamming radius, found in a vantage-point tree.
 
-A vantage-point tree over a bounded sample of the distinct fingerprints (2^18 of them, 2 MB, at most) splits the
-Hamming space into leaves: a node sends a fingerprint inward if its distance to the vantage point is at most the
+A vantage-point tree over a bounded sample of the distinct fingerprints (2^20 of them, 8 MB, at most; `POINTS` for each
+leaf) splits the Hamming space into leaves of about `leaf_size`, in a task each: a node sends a fingerprint inward if its distance to the vantage point is at most the
 node's radius, outward otherwise. Every distinct fingerprint has one home leaf. By the triangle bound |d(v, x) -
 d(v, y)| <= d(x, y), a pair within `bits` of each other can lie on different sides only if the inner one is within
 `bits` of the boundary; such a fingerprint visits the other side as well, and a visitor goes on into every branch
 that the bound can't rule out. Each leaf then holds, for each of its home fingerprints, all partners there are, and
-pairs are exact. Leaves emit no pairs but a spanning star for each component they see (a breadth-first search that
+pairs are exact. A leaf of more than `LOCAL_LEAF` fingerprints is split again by a tree of its own points in the same
+way, so its work stays below its square; that also holds beyond 2^16 leaves, from where on leaves grow with the input.
+Fingerprints visit more leaves the more there are (the README has measured figures), which is the price of the method on
+fingerprints that are spread at random. Leaves emit no pairs but a spanning star for each component they see (a breadth-first search that
 drops a fingerprint from the search once reached), so a leaf full of near copies costs about its size, not its square.
 
 Copies with a Jaccard similarity of 0.8 or more over sets of five-word shingles (`similar`) are found by bands of minimum
@@ -39,8 +42,11 @@ from rateloom.session import materialize, table
 SHINGLE = 3
 BITS = 3
 LEAF_SIZE = 4096
-MAX_SAMPLE = 1 << 18
+MAX_SAMPLE = 1 << 20
+POINTS = 16
+LOCAL_LEAF = 1024
 SEED = 42
+BROADCAST_NODES = 1_000_000
 BANDS, ROWS = 32, 5
 #: Two sets are alike if their Jaccard similarity is at least 4 / 5; compared in integers.
 SIMILAR = (4, 5)
@@ -164,14 +170,30 @@ def leaf_stars(node: np.ndarray, fps: np.ndarray, home: np.ndarray, sketch: np.n
     return np.concatenate(members or [empty]), np.concatenate(roots or [empty])
 
 
+def local_stars(node: np.ndarray, fps: np.ndarray, home: np.ndarray, sketch: np.ndarray, bits: int, sketch_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a leaf, by a tree of its own where it is large.
+
+    In the local leaves all that are at home there search, for a pair meets only where its outer one is at home.
+    """
+    if len(node) <= LOCAL_LEAF:
+        return leaf_stars(node, fps, home, sketch, bits, sketch_bits)
+    leaf, row, inside = route(build_tree(np.unique(fps), -(-len(node) // LOCAL_LEAF)), fps, bits)
+    order = np.argsort(leaf, kind="stable")
+    ends = np.flatnonzero(np.diff(leaf[order], append=-1)) + 1
+    out = [leaf_stars(node[row[at]], fps[row[at]], inside[at], sketch[row[at]], bits, sketch_bits)
+           for at in np.split(order, ends[:-1]) if home[row[at]].any()]
+    empty = np.empty(0, np.int64)
+    return np.concatenate([a for a, _ in out] or [empty]), np.concatenate([b for _, b in out] or [empty])
+
+
 def near_edges(items: DataFrame, *, bits: int = BITS, sketch_bits: int = 0, leaf_size: int = LEAF_SIZE, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """Edges (a, b) among items (node, fps: a fingerprint for each tree, sketch) whose components are those of all links."""
     spark = items.sparkSession
     n = items.count()
-    leaves = max(1, min(-(-n // leaf_size), max_sample // 64))
-    share = min(1.0, 64 * leaves / max(n, 1))
+    leaves = max(1, min(-(-n // leaf_size), max_sample // POINTS))
+    share = min(1.0, POINTS * leaves / max(n, 1))
     # a share of the hash space, not of the rows: the same fingerprints whatever the partitions
-    picked = items.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).select("fps").limit(2 * max_sample)
+    picked = items.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).select("fps")
     sample = np.array([r[0] for r in picked.collect()], np.int64) if leaves > 1 else np.empty((0, 0), np.int64)
     forest = [build_tree(np.unique(sample[:, k]), leaves) for k in range(sample.shape[1])] if len(sample) else None
     held = spark.sparkContext.broadcast(forest)  # at most max_sample / 64 nodes a tree
@@ -189,7 +211,7 @@ def near_edges(items: DataFrame, *, bits: int = BITS, sketch_bits: int = 0, leaf
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         sketch = np.array(part["sketch"].tolist(), np.int64).reshape(len(part), -1)
-        a, b = leaf_stars(part["node"].to_numpy(np.int64), part["fp"].to_numpy(np.int64), part["home"].to_numpy(bool), sketch, bits, sketch_bits)
+        a, b = local_stars(part["node"].to_numpy(np.int64), part["fp"].to_numpy(np.int64), part["home"].to_numpy(bool), sketch, bits, sketch_bits)
         return pd.DataFrame({"a": a, "b": b})
 
     routed = map_columns(items.select("node", "fps", "sketch"), send, "tree int, leaf int, node long, fp long, home boolean, sketch array<long>")
@@ -306,7 +328,8 @@ def similar_edges(items: DataFrame, texts: DataFrame, *, leaf_size: int = LEAF_S
     inside = inside.withColumn("other", F.explode(F.when(F.col("cuts") == 1, F.array("chunk")).otherwise(others)))
     block = F.xxhash64("band", F.least("chunk", "other"), F.greatest("chunk", "other"))
     inside = materialize(inside.select("node", block.alias("block")), "inside")
-    leaves = max(1, inside.count() // 1024)
+    n_inside = inside.count()
+    leaves = max(1, n_inside // 1024)
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         node, sets = part["node"].to_numpy(np.int64), part["set"].tolist()
@@ -315,7 +338,13 @@ def similar_edges(items: DataFrame, texts: DataFrame, *, leaf_size: int = LEAF_S
         empty = np.empty(0, np.int64)
         return pd.DataFrame({"a": np.concatenate(a or [empty]), "b": np.concatenate(b or [empty])})
 
-    once = texts.join(inside.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
+    # copies are combined on the map side, before the join or, where the nodes are few, after a join without a shuffle
+    nodes = inside.select("node").distinct()
+    if n_inside <= BROADCAST_NODES:
+        once = texts.join(F.broadcast(nodes), "node", "left_semi").dropDuplicates(["node"])
+    else:
+        once = texts.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+    once = once.select("node", "text")
     sets = map_columns(once, lambda nodes, texts: (nodes, [shingles(t).view(np.int64) for t in texts]), "node long, set array<long>")
     joined = inside.join(materialize(sets, "sets"), "node").withColumn("leaf", F.pmod("block", F.lit(leaves)))
     return joined.groupBy("leaf").applyInPandas(link, "a long, b long")

@@ -169,3 +169,33 @@ def test_one_of_each_of_awkward_tables(spark):
     assert kept.columns == docs.columns
     assert sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in kept.collect()) == [("1", ""), ("7", "other"), ("7", "z z z"), ("None", "a b c"), ("None", "d e f")]
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_a_large_leaf_is_split_by_a_tree_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LOCAL_LEAF", 32)
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    fps = [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in base for _ in range(8)]
+    node = np.array(sorted(set(fps)), np.uint64).view(np.int64)
+    home = np.array([rng.random() < 0.7 for _ in node])
+    none = np.zeros((len(node), 0), np.int64)
+
+    def groups(edges):
+        root = {int(n): int(n) for n in node}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(*(e.tolist() for e in edges)):
+            root[find(a)] = find(b)
+        return {frozenset(k for k in root if find(k) == r) for r in map(find, root)}
+
+    whole = groups(simhash.leaf_stars(node, node, np.ones(len(node), bool), none, 3, 0))
+    assert groups(simhash.local_stars(node, node, np.ones(len(node), bool), none, 3, 0)) == whole
+    # with visitors: every link of a home is there, and nothing that is not linked
+    links = {(int(a), int(b)) for a, h in zip(node, home) if h for b in node[simhash.distance(node, a) <= 3]}
+    found = groups(simhash.local_stars(node, node, home, none, 3, 0))
+    assert all(any({a, b} <= g for g in found) for a, b in links)
+    assert all(any(g <= w for w in whole) for g in found)
