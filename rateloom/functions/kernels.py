@@ -32,39 +32,38 @@ def mckp_exact(items: list[list[tuple[int, float]]], budget: int) -> tuple[float
     return value, picks[::-1]
 
 
-def partition_exact(n: int, zones: dict[tuple[int, int], list[tuple[int, float]]], budget: int, most: int | None = None) -> tuple[float, int, list[tuple[int, int, int]]] | None:
+def partition_exact(
+    n: int, zones: dict[tuple[int, int], list[tuple[int, float]]], budget: int, most: int | None = None, grid: int = 1,
+) -> tuple[float, int, list[tuple[int, int, int]]] | None:
     """Cut 0..n-1 into zones (start, stop inclusive), each with one of its options (bytes, loss), within the budget.
 
-    most: at most so many zones. Returns loss, bytes and (start, stop, option).
+    most: at most so many zones; only then is there a layer for each number of zones. grid: bytes are counted in steps of
+    this size, each option rounded up, so that a plan always fits and the tables shrink by the step. Returns loss, bytes
+    and (start, stop, option).
     """
-    layers = most or n
-    best = np.full((layers + 1, n + 1, budget + 1), np.inf)
+    room = budget // grid
+    listed = [(a, b, k, size, -(-size // grid), loss) for (a, b), some in sorted(zones.items()) for k, (size, loss) in enumerate(some) if -(-size // grid) <= room]
+    layers = most if most else 0
+    best = np.full((layers + 1, n + 1, room + 1), np.inf)
+    back = np.full(best.shape, -1, np.int32)
     best[0, 0, 0] = 0.0
-    back: dict[tuple[int, int, int], tuple[int, int]] = {}
-    for used in range(layers):
-        for (start, stop), options in sorted(zones.items()):
-            row = best[used, start]
-            if not np.isfinite(row).any():
-                continue
-            for k, (size, loss) in enumerate(options):
-                if size > budget:
-                    continue
-                target = best[used + 1, stop + 1]
-                cand = row[: budget + 1 - size] + loss
-                better = np.flatnonzero(cand < target[size:] - 1e-15)
-                target[size + better] = cand[better]
-                for b in (size + better).tolist():
-                    back[used + 1, stop + 1, b] = (start, k)
+    for used in range(max(layers, 1)):
+        onto = used + 1 if layers else 0
+        for number, (start, stop, _, _, steps, loss) in enumerate(listed):  # by start: all that ends before it is final
+            cand = best[used, start, : room + 1 - steps] + loss
+            target = best[onto, stop + 1, steps:]
+            better = cand < target - 1e-15
+            target[better] = cand[better]
+            back[onto, stop + 1, steps:][better] = number
     final = best[:, n]
     if not np.isfinite(final).any():
         return None
-    used, at = np.unravel_index(int(final.argmin()), final.shape)
-    value, spent, out, stop, used, at = float(final[used, at]), int(at), [], n, int(used), int(at)
+    used, at = map(int, np.unravel_index(int(final.argmin()), final.shape))
+    value, spent, out, stop = float(final[used, at]), 0, [], n
     while stop > 0:
-        start, k = back[used, stop, at]
-        out.append((start, stop - 1, k))
-        at -= zones[start, stop - 1][k][0]
-        stop, used = start, used - 1
+        start, last, k, size, steps, _ = listed[back[used, stop, at]]
+        out.append((start, last, k))
+        spent, at, stop, used = spent + size, at - steps, start, used - 1 if layers else 0
     return value, spent, out[::-1]
 
 

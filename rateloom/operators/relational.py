@@ -83,8 +83,9 @@ def running_total(df: DataFrame, order: str, value: str, into: str, buckets: int
     return inside.join(F.broadcast(offsets), "_b").withColumn(into, F.col("_o") + F.col("_s")).drop("_b", "_o", "_s")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, right_key: str, buckets: int = BUCKETS) -> DataFrame:
-    """For each left row the right row of its group with the nearest value; the lower value, then the lower key wins.
+def nearest_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, right_key: str, buckets: int = BUCKETS, ties: str = "lower") -> DataFrame:
+    """For each left row the right row of its group with the nearest value; of two as near the lower value wins, or the
+    higher one with ties="higher"; of equal values the lower key.
 
     Both sides are sorted together once and each left row looks one way and the other: no pairs are made. The axis is
     cut into ranges, so that a large group is many tasks; what lies beyond a range's ends comes from the ranges' own
@@ -112,7 +113,8 @@ def nearest_join(left: DataFrame, right: DataFrame, by: list[str], on: str, righ
     above = F.first(mark, True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
     found = both.withColumns({"_lo": below, "_hi": above}).where("_row is not null")
     low, high = F.abs(F.col("_v") - F.col("_lo._v")), F.abs(F.col("_hi._v") - F.col("_v"))
-    pick = F.when(F.col("_v").isNull(), F.lit(None)).when(F.col("_lo").isNull() | (high < low), F.col("_hi")).otherwise(F.col("_lo"))
+    upper = high <= low if ties == "higher" else high < low
+    pick = F.when(F.col("_v").isNull(), F.lit(None)).when(F.col("_lo").isNull() | upper, F.col("_hi")).otherwise(F.col("_lo"))
     return found.withColumn("_pick", pick).select("_row.*", F.col("_pick._v").alias("nearest_value"), F.col("_pick._key").alias("nearest_key"))
 
 

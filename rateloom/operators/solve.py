@@ -24,14 +24,17 @@ def exact_choice(options: DataFrame, group: str, item: str, cost: str, loss: str
     return options.groupBy(group).applyInPandas(solve, f"{group} {kind}, loss double, bytes long")
 
 
-def exact_partition(zones: DataFrame, group: str, budget: int, most: int | None = None) -> DataFrame:
-    """zones: group, start, stop, bytes, loss with keys numbered from 0. Rows: group, loss, bytes, n_zones."""
+def exact_partition(zones: DataFrame, group: str, budget: int, most: int | None = None, grid: int = 1) -> DataFrame:
+    """zones: group, start, stop, bytes, loss with keys numbered from 0. Rows: group, loss, bytes, n_zones.
+
+    grid: the byte steps in which the budget is walked; a group's table has (keys + 1) * budget / grid cells (times most).
+    """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         table: dict[tuple[int, int], list[tuple[int, float]]] = {}
         for a, b, size, loss in pdf.sort_values(["start", "stop", "bytes"])[["start", "stop", "bytes", "loss"]].values.tolist():
             table.setdefault((int(a), int(b)), []).append((int(size), float(loss)))
-        found = kernels.partition_exact(int(pdf["stop"].max()) + 1, table, budget, most)
+        found = kernels.partition_exact(int(pdf["stop"].max()) + 1, table, budget, most, grid)
         if found is None:
             return pd.DataFrame({group: [], "loss": [], "bytes": [], "n_zones": []})
         return pd.DataFrame({group: [pdf[group].iloc[0]], "loss": [found[0]], "bytes": [found[1]], "n_zones": [len(found[2])]})

@@ -109,6 +109,16 @@ def nearest_key_join(spark, d):
     return out.select("c_custkey", F.col("nation").alias("c_nationkey"), "nearest_value", "nearest_key")
 
 
+@query("""WITH k AS (SELECT DISTINCT p_type, p_size FROM part), g AS (SELECT DISTINCT p_type FROM k), f AS (SELECT p_type, unnest(range(0, 61)) AS key FROM g)
+SELECT p_type, key, p_size AS answered FROM (SELECT f.p_type, key, p_size, row_number() OVER (PARTITION BY f.p_type, key ORDER BY abs(p_size - key), p_size DESC) AS rn FROM f JOIN k USING (p_type)) WHERE rn = 1""")
+def nearest_fill_higher_ties(spark, d):
+    """The same keyboard where of two keys as near the higher one answers."""
+    keys = table(spark, d, "part").select("p_type", F.col("p_size").cast("long").alias("p_size")).distinct()
+    board = keys.select("p_type").distinct().withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(60).cast("long"))))
+    out = R.nearest_join(board, keys.withColumn("own", F.col("p_size")), ["p_type"], "key", "p_size", "own", ties="higher")
+    return out.select("p_type", "key", F.col("nearest_key").cast("int").alias("answered"))
+
+
 @query("""WITH k AS (SELECT DISTINCT p_type, p_size FROM part), g AS (SELECT DISTINCT p_type FROM k), f AS (SELECT p_type, unnest(range(0, 61)) AS key FROM g)
 SELECT p_type, key, p_size AS answered FROM (SELECT f.p_type, key, p_size, row_number() OVER (PARTITION BY f.p_type, key ORDER BY abs(p_size - key), p_size) AS rn FROM f JOIN k USING (p_type)) WHERE rn = 1""")
 def nearest_fill_keyboard(spark, d):
@@ -211,55 +221,60 @@ def lagrangian_budget(spark, d):
     return fits.agg(F.max("step").alias("step"), F.max("total_cost").cast("long").alias("total_cost"), S.rounded(F.min("total_loss"), 4).alias("total_loss"))
 
 
-CHOICE = """t AS (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type) AS item FROM (SELECT p_brand, p_type, p_size, min(p_retailprice) AS loss FROM part GROUP BY ALL)),
-pts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size) AS rn FROM t WHERE item <= 3) WHERE rn <= 4),
-bud AS (SELECT p_brand, CAST(sum(m) + 12 AS BIGINT) AS budget FROM (SELECT p_brand, item, min(p_size) AS m FROM pts GROUP BY ALL) GROUP BY 1 HAVING count(*) = 3)"""
+CHOICE = """pts AS (SELECT p_brand, p_size, min(p_retailprice) AS loss, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type) AS item FROM part GROUP BY p_brand, p_type, p_size),
+bud AS (SELECT p_brand, CAST(sum(m) + 12 AS BIGINT) AS budget, max(item) AS items FROM (SELECT p_brand, item, min(p_size) AS m FROM pts GROUP BY ALL) GROUP BY 1)"""
 
 
-@query(f"""WITH {CHOICE} SELECT a.p_brand, {r6('min(a.loss + b.loss + c.loss)', 4)} AS loss FROM pts a JOIN pts b USING (p_brand) JOIN pts c USING (p_brand) JOIN bud USING (p_brand)
-WHERE a.item = 1 AND b.item = 2 AND c.item = 3 AND a.p_size + b.p_size + c.p_size <= budget GROUP BY 1""")
+@query(f"""WITH RECURSIVE {CHOICE}, walk AS (SELECT p_brand, CAST(0 AS BIGINT) AS done, CAST(0 AS BIGINT) AS bytes, 0.0::DOUBLE AS loss FROM bud UNION ALL
+  SELECT w.p_brand, w.done + 1, w.bytes + p.p_size, min(w.loss + p.loss) FROM walk w JOIN pts p ON p.p_brand = w.p_brand AND p.item = w.done + 1 JOIN bud ON bud.p_brand = w.p_brand
+  WHERE w.bytes + p.p_size <= budget GROUP BY w.p_brand, w.done + 1, w.bytes + p.p_size)
+SELECT w.p_brand, {r6('min(loss)', 4)} AS loss FROM walk w JOIN bud USING (p_brand) WHERE done = items GROUP BY 1""")
 def mckp_exact_small(spark, d):
+    """A size for every type of a brand, within twelve bytes of the cheapest choice."""
     from rateloom.operators.solve import exact_choice
 
-    best = table(spark, d, "part").groupBy("p_brand", "p_type", F.col("p_size").cast("long").alias("p_size")).agg(F.min("p_retailprice").alias("loss"))
-    items = best.withColumn("item", F.dense_rank().over(W.partitionBy("p_brand").orderBy("p_type"))).where("item <= 3")
-    points = items.withColumn("rn", F.row_number().over(W.partitionBy("p_brand", "p_type").orderBy("p_size"))).where("rn <= 4")
-    least = points.groupBy("p_brand", "item").agg(F.min("p_size").alias("m")).groupBy("p_brand").agg((F.sum("m") + 12).alias("budget"), F.count("*").alias("k")).where("k = 3").drop("k")
-    return exact_choice(points.join(least, "p_brand"), "p_brand", "item", "p_size", "loss", "budget").select("p_brand", S.rounded(F.col("loss"), 4).alias("loss"))
+    points = table(spark, d, "part").groupBy("p_brand", "p_type", F.col("p_size").cast("long").alias("p_size")).agg(F.min("p_retailprice").alias("loss"))
+    least = points.groupBy("p_brand", "p_type").agg(F.min("p_size").alias("m")).groupBy("p_brand").agg((F.sum("m") + 12).alias("budget"))
+    return exact_choice(points.join(least, "p_brand"), "p_brand", "p_type", "p_size", "loss", "budget").select("p_brand", S.rounded(F.col("loss"), 4).alias("loss"))
 
 
-KEYS6 = """k AS (SELECT p_brand, p_size, CAST(r - 1 AS INT) AS r FROM (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM (SELECT DISTINCT p_brand, p_size FROM part)) WHERE r <= 6),
-zone AS (SELECT a.p_brand, a.r AS start, b.r AS stop, 10 + (b.p_size - a.p_size) AS bytes, CAST((b.p_size - a.p_size) * (b.p_size - a.p_size) AS DOUBLE) AS loss FROM k a JOIN k b USING (p_brand) WHERE b.r >= a.r)"""
+ZONE_BUDGET, CAP_BUDGET = 90, 60
+ZONES = """k AS (SELECT p_brand, p_size, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size) - 1 AS INT) AS r FROM (SELECT DISTINCT p_brand, p_size FROM part)),
+zone AS (SELECT a.p_brand, a.r AS start, b.r AS stop, 10 + (b.p_size - a.p_size) AS bytes, CAST((b.p_size - a.p_size) * (b.p_size - a.p_size) AS DOUBLE) AS loss FROM k a JOIN k b USING (p_brand) WHERE b.r >= a.r),
+n AS (SELECT p_brand, max(r) AS top FROM k GROUP BY 1)"""
 
 
-@query(f"""WITH RECURSIVE {KEYS6}, n AS (SELECT p_brand, max(r) AS top FROM k GROUP BY 1),
-walk AS (SELECT p_brand, -1 AS done, 0 AS bytes, 0.0::DOUBLE AS loss FROM n UNION ALL
-  SELECT w.p_brand, z.stop, w.bytes + z.bytes, w.loss + z.loss FROM walk w JOIN zone z ON z.p_brand = w.p_brand AND z.start = w.done + 1)
-SELECT w.p_brand, min(loss) AS loss FROM walk w JOIN n USING (p_brand) WHERE done = top AND bytes <= 45 GROUP BY 1""")
-def partition_dp_small(spark, d):
-    from rateloom.operators.solve import exact_partition
+def zone_walk(budget: int, most: int | None = None) -> str:
+    """All cuts of a brand's sizes, a zone more in each step; of cuts alike in end and bytes the best goes on."""
+    limit = f" AND w.used < {most}" if most else ""
+    return f"""{ZONES}, walk AS (SELECT p_brand, -1 AS done, CAST(0 AS BIGINT) AS bytes, 0.0::DOUBLE AS loss, 0 AS used FROM n UNION ALL
+  SELECT w.p_brand, z.stop, w.bytes + z.bytes, min(w.loss + z.loss), w.used + 1 FROM walk w JOIN zone z ON z.p_brand = w.p_brand AND z.start = w.done + 1
+  WHERE w.bytes + z.bytes <= {budget}{limit} GROUP BY w.p_brand, z.stop, w.bytes + z.bytes, w.used + 1)
+SELECT w.p_brand, min(loss) AS loss FROM walk w JOIN n USING (p_brand) WHERE done = top GROUP BY 1"""
 
+
+def _size_zones(spark, d):
     keys = table(spark, d, "part").select("p_brand", "p_size").distinct()
-    keys = keys.withColumn("r", F.row_number().over(W.partitionBy("p_brand").orderBy("p_size")) - 1).where("r < 6")
+    keys = keys.withColumn("r", F.row_number().over(W.partitionBy("p_brand").orderBy("p_size")) - 1)
     a, b = keys.alias("a"), keys.alias("b")
     width = F.col("b.p_size") - F.col("a.p_size")
-    zones = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("b.r") >= F.col("a.r"))).select(
+    return a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("b.r") >= F.col("a.r"))).select(
         F.col("a.p_brand").alias("p_brand"), F.col("a.r").alias("start"), F.col("b.r").alias("stop"), (width + 10).alias("bytes"), (width * width).cast("double").alias("loss"))
-    return exact_partition(zones, "p_brand", 45).select("p_brand", "loss")
 
 
-@query()
+@query(f"WITH RECURSIVE {zone_walk(ZONE_BUDGET)}")
+def partition_dp_small(spark, d):
+    from rateloom.operators.solve import exact_partition
+
+    return exact_partition(_size_zones(spark, d), "p_brand", ZONE_BUDGET).select("p_brand", "loss")
+
+
+@query(f"WITH RECURSIVE {zone_walk(CAP_BUDGET, 2)}")
 def sample_cap_search(spark, d):
     """At most two zones: the count limit enters the partition's own table."""
     from rateloom.operators.solve import exact_partition
 
-    keys = table(spark, d, "part").select("p_brand", "p_size").distinct()
-    keys = keys.withColumn("r", F.row_number().over(W.partitionBy("p_brand").orderBy("p_size")) - 1)
-    a, b = keys.alias("a"), keys.alias("b")
-    width = F.col("b.p_size") - F.col("a.p_size")
-    zones = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("b.r") >= F.col("a.r"))).select(
-        F.col("a.p_brand").alias("p_brand"), F.col("a.r").alias("start"), F.col("b.r").alias("stop"), (width + 10).alias("bytes"), (width * width).cast("double").alias("loss"))
-    return exact_partition(zones, "p_brand", 60, most=2)
+    return exact_partition(_size_zones(spark, d), "p_brand", CAP_BUDGET, most=2).select("p_brand", "loss")
 
 
 @query(f"SELECT p_brand, {r6('coalesce(sum(p_retailprice * p_size) / nullif(sum(p_size), 0), 0)', 4)} AS distortion, CAST(sum(p_size) AS BIGINT) AS weight FROM part GROUP BY 1")

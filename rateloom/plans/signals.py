@@ -84,14 +84,14 @@ def window_mean_travel(spark, d):
     return table(spark, d, "events").select("event_id", S.rounded(F.avg("value").over(w.rowsBetween(-3, 3)), 5).alias("pooled"), S.rounded(F.col("value") - F.lag("value", 1).over(w), 5).alias("c"), F.lit(0.0).alias("z")).select("event_id", "pooled", F.coalesce("c", "z").alias("change"))
 
 
-@query(f"""WITH a AS (SELECT CAST(extract(hour FROM ts) AS INT) * 5 AS x, avg(value) AS y FROM events WHERE extract(hour FROM ts) % 6 = 0 GROUP BY 1),
+@query(f"""WITH a AS (SELECT CAST(extract(hour FROM ts) AS INT) * 5 AS x, avg(value) AS y FROM events GROUP BY 1),
 g AS (SELECT unnest(range(0, 128)) AS v),
 b AS (SELECT v, max(x) FILTER (WHERE x <= v) AS lo, min(x) FILTER (WHERE x >= v) AS hi FROM g, a GROUP BY 1)
 SELECT CAST(v AS INT) AS velocity, {r6('CASE WHEN lo IS NULL THEN h.y WHEN hi IS NULL THEN l.y ELSE l.y + (h.y - l.y) * coalesce((v - lo) / nullif(CAST(hi - lo AS DOUBLE), 0), 0) END', 4)} AS level
 FROM b LEFT JOIN a l ON l.x = lo LEFT JOIN a h ON h.x = hi""")
 def velocity_map_interp(spark, d):
     hour = F.hour("ts")
-    anchors = table(spark, d, "events").where(hour % 6 == 0).groupBy((hour * 5).cast("double").alias("x")).agg(F.avg("value").alias("y"))
+    anchors = table(spark, d, "events").groupBy((hour * 5).cast("double").alias("x")).agg(F.avg("value").alias("y"))
     points = anchors.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))  # 24 hours at most
     grid = spark.range(128).crossJoin(F.broadcast(points))
     return grid.select(F.col("id").cast("int").alias("velocity"), S.rounded(A.interpolate(F.col("id").cast("double"), F.col("p")), 4).alias("level"))

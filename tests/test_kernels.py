@@ -40,6 +40,20 @@ def test_partition_is_the_best_of_all():
         assert (got is None) == (best is None) and (got is None or got[0] == pytest.approx(best))
 
 
+def test_partition_on_a_grid_fits_and_loses_little():
+    rng = random.Random(2)
+    for _ in range(30):
+        n, budget, most = rng.randint(2, 6), rng.randint(300, 900), rng.choice([None, 2])
+        zones = {(a, b): [(rng.randint(50, 300), float(rng.randint(0, 20))) for _ in range(2)] for a in range(n) for b in range(a, n)}
+        fine, coarse = (kernels.partition_exact(n, zones, budget, most, g) for g in (1, 16))
+        if coarse is not None:
+            loss, spent, picked = coarse
+            assert spent == sum(zones[a, b][k][0] for a, b, k in picked) <= budget and loss >= fine[0]
+            assert [a for a, _, _ in picked] == [0] + [b + 1 for _, b, _ in picked[:-1]] and picked[-1][1] == n - 1
+            roomy = kernels.partition_exact(n, zones, budget + 16 * n, most, 16)
+            assert roomy[0] <= fine[0]
+
+
 @pytest.mark.parametrize("points,kept", [
     ([(100, 1.0), (200, 0.5), (300, 0.45), (400, 0.1)], [100, 200, 400]), ([(100, 0.5 * 2), (200, 0.5), (300, 0.6)], [100, 200]),
     ([(0, 3.0), (10, 2.0), (20, 1.0)], [0, 20]), ([(100, 1.0), (100, 0.4), (200, 0.1)], [100, 200]),
