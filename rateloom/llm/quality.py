@@ -7,7 +7,7 @@ them give a vector of transformed statistics:
 For each (lang, source) the minimum covariance determinant estimate is the mean and covariance of the `ALPHA` share of
 its documents with the smallest determinant. Concentration steps find it: estimate mean and covariance of the subset,
 take the documents with the smallest Mahalanobis distances as the next subset, repeat until no group's determinant falls
-by more than a thousandth. They run from `STARTS` deterministic starts at once (distances from medians in quartile
+by more than a thousandth below its lowest. They run from `STARTS` deterministic starts at once (distances from medians in quartile
 ranges: their squared sum, their largest, and their squared sum without the length), and each group keeps the start that
 ends at the smallest determinant.
 
@@ -209,7 +209,8 @@ def outlier_distances(vectors: DataFrame, *, alpha: float = ALPHA, max_steps: in
             if fall is None or fall < 1e-3:
                 break
         rows = tried.join(fit.select("key", "mean", "inverse"), "key").select("key", *X, bin_of(mahalanobis()).alias("bin"))
-        before = fit.select("key", F.col("logdet").alias("old"))
+        lowest = fit.select("key", F.col("logdet").alias("old"))  # whole bins may let a group swing: what counts is a new minimum
+        before = lowest if before is None else materialize(lowest.union(before).groupBy("key").agg(F.min("old").alias("old")), "mcd_lowest")
     else:
         warnings.warn(f"concentration steps did not converge within {max_steps}", stacklevel=2)
     own = F.regexp_replace("key", "#[0-9]+$", "")
