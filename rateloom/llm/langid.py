@@ -11,15 +11,17 @@ the fourth count the distinct characters that precede (Kneser-Ney). The fourth o
 language; lower orders and back-off weights are dense. A text's score for a language is the mean cost of its
 characters, and the language with the lowest cross-entropy is chosen.
 
-Rejection is calibrated on the training documents: a histogram of the margins between the two lowest cross-entropies
-gives the share of right predictions by margin (made monotone), which is the score, and the largest cross-entropies
-that `TAIL` of each language's right documents exceed give limits; beyond its limit a prediction is not `accepted`.
+Rejection is calibrated on one in `CALIBRATION` of the labelled documents, which are not counted in any model: a
+histogram of the margins between the two lowest cross-entropies gives the share of right predictions by margin (made
+monotone), which is the score, and the largest cross-entropies that `TAIL` of each language's right documents exceed
+give limits; beyond its limit a prediction is not `accepted`.
 
 Documents with crc32(doc_id as text) mod 4 = 2 and those without a language are not learned from; no prediction looks
 at language, source or id. Whole texts are read.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and not accepted; without any training
-document all are; ties go to the first language by code point; repeated rows are predicted alike; an empty table gives
+document all are; a language that no calibration document has right accepts none, and without any such document the
+score is one over the number of languages; ties go to the first language by code point; repeated rows are predicted alike; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -38,6 +40,8 @@ from rateloom.session import materialize, table
 
 FOLDS = 4
 HELD = 2
+#: One in so many labelled documents calibrates and is not counted.
+CALIBRATION = 8
 TAIL = 0.001
 MARGIN_BINS = 64
 HASH = 0x9E3779B1 % (1 << 24) | 1
@@ -45,9 +49,19 @@ FLUSH_CHARS = 4 << 20
 UNKNOWN = "und"
 
 
+def checksum(doc_id: Column) -> Column:
+    """crc32(doc_id as text); a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
 def fold(doc_id: Column) -> Column:
-    """crc32(doc_id as text) mod 4; a null id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
+    """crc32(doc_id as text) mod 4."""
+    return F.pmod(checksum(doc_id), F.lit(FOLDS))
+
+
+def calibrates(doc_id: Column) -> Column:
+    """Whether a labelled document is kept for calibration; independent of the fold, and false for a null id."""
+    return F.pmod(F.shiftright(checksum(doc_id), 2), F.lit(CALIBRATION)) == CALIBRATION - 1
 
 
 def classes() -> np.ndarray:
@@ -227,8 +241,8 @@ def predicted(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     spark = documents.sparkSession
     held_out = fold(F.col(doc_id)) == HELD
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), held_out.alias("held_out"))
-    learned = ~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    counts = gram_counts(rows.where(learned).select("text", "lang")).toPandas()  # 2^24 a language at most
+    labelled = ~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    counts = gram_counts(rows.where(labelled & ~calibrates(F.col("doc_id"))).select("text", "lang")).toPandas()  # 2^24 a language at most
     fields = struct(f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang string, lang_pred string, cross_entropy double, margin double")
     if not len(counts):
         none = rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(False).alias("accepted"))
@@ -247,7 +261,7 @@ def predicted(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         return ids, held, langs, names, clean(two[:, 0]), clean(two[:, 1] - two[:, 0])
 
     scored = materialize(map_columns(rows, score, fields), "lang_scored")
-    known = scored.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("margin").isNotNull())
+    known = scored.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("margin").isNotNull() & calibrates(F.col("doc_id")))
     right = (F.col("lang") == F.col("lang_pred")).cast("long")
     bins = known.groupBy(margin_bin(F.col("margin")).alias("bin")).agg(F.sum(right).alias("right"), F.count("*").alias("n")).collect()
     shares = margin_scores([(r["bin"], r["right"], r["n"]) for r in bins], len(models.value.langs))

@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -86,6 +87,30 @@ def test_held_out_texts(spark):
     assert len(sure) > 0.7 * len(found) and (sure.lang == sure.lang_pred).mean() > 0.99
 
 
+def test_calibration_and_rejection(spark):
+    """Scores and limits follow a plain count over the calibration documents; another alphabet's text is rejected."""
+    rng = random.Random(4)
+    words = {"en": "the cat sat on a mat with two old hats".split(), "de": "der hund und die katze auf einem alten dach".split()}
+    make = lambda lang: " ".join(rng.choices(words[lang], k=12))
+    rows = [(k, make("de" if k % 3 else "en"), ("de", "en")[k % 2] if k % 10 == 0 else "de" if k % 3 else "en", "s", 1) for k in range(6000)]
+    rows.append((10_000, "zzq xxw qqv wwx " * 20, None, "s", 1))
+    found = {r["doc_id"]: r for r in langid.predicted(spark.createDataFrame(rows, ROWS)).collect()}
+    crc = lambda k: zlib.crc32(str(k).encode())
+    assert all(found[k]["held_out"] == (crc(k) % 4 == 2) for k in found)
+    kept = [r for r in rows[:-1] if crc(r[0]) % 4 != 2 and crc(r[0]) // 4 % 8 == 7]
+    assert 400 < len(kept) < 750
+    right = [r for r in kept if found[r[0]]["lang_pred"] == r[2]]
+    assert len(right) < len(kept)
+    # pooling keeps the sum of right documents; the prior adds half a document, right by half, in each bin
+    assert abs(sum(found[r[0]]["score"] for r in kept) - len(right)) <= langid.MARGIN_BINS / 4
+    for lang in words:
+        limit = max(math.floor(found[r[0]]["cross_entropy"] * 64) + 1 for r in right if r[2] == lang) / 64
+        some = [f for f in found.values() if f["lang_pred"] == lang]
+        assert all(f["accepted"] == (f["cross_entropy"] <= limit) for f in some)
+        assert any(f["accepted"] for f in some)
+    assert not found[10_000]["accepted"]
+
+
 def test_awkward_tables(spark):
     good = [(100 + k, "the cat sat on the mat" if k % 2 else "der hund und die katze", "en" if k % 2 else "de", "s", 1) for k in range(40)]
     rows = [(1, None, "en", None, None), (2, "", "en", "", 0), (3, "12 !!", None, "y", 1), (4, "the mat " * 20000, None, "y", 1), (4, "the mat " * 20000, None, "y", 1), (None, "die katze", "de", None, 1)]
