@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rateloom.plans import audio, relations, signals
+from rateloom.plans import audio, fidelity, relations, signals
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relations.QUERIES, **signals.QUERIES, **audio.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relations.SQL, **signals.SQL, **audio.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relations.QUERIES, **signals.QUERIES, **audio.QUERIES, **fidelity.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relations.SQL, **signals.SQL, **audio.SQL, **fidelity.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

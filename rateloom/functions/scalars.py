@@ -93,6 +93,27 @@ def kib_to_bytes(kib: Column) -> Column:
     return F.ceil(kib * 1024).cast("long")
 
 
+def bytes_to_kib(bytes_: Column) -> Column:
+    return bytes_ / F.lit(1024.0)
+
+
+def resampled_frames(frames: Column, rate: int, target: int) -> Column:
+    """Frames that a signal has at another rate, ties to the even count."""
+    if rate <= 0 or target <= 0:
+        raise ValueError(f"rates must be above zero, not {rate} and {target}")
+    return F.bround(frames * target / F.lit(float(rate)), 0).cast("long")
+
+
+def headroom_peak(headroom_db: Column) -> Column:
+    """Full scale, lowered by the headroom."""
+    return db_to_gain(-headroom_db)
+
+
+def decay_level(mean_db: Column, slope_db: Column, mean_s: Column, moment_s: Column) -> Column:
+    """Gain that a decay line reads at a moment."""
+    return db_to_gain(mean_db + slope_db * (moment_s - mean_s))
+
+
 def energy_weight(mean_energy: Column, exponent: float) -> Column:
     return F.pow(mean_energy, F.lit(float(exponent)))
 

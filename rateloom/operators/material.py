@@ -72,3 +72,12 @@ def combined_options(segments: list[DataFrame], keys: list[int]) -> DataFrame:
         out.append(options.withColumns({"start": F.col("start") + offset, "stop": F.col("stop") + offset}))
         offset += n
     return gathered(out)
+
+
+def key_coverage(routed: DataFrame, instrument: str, key: str, low: int, high: int) -> DataFrame:
+    """One row: keys of the keyboard, those any instrument answers, and those the least covered instrument answers."""
+    inside = F.when(F.col(key).between(low, high), F.col(key))
+    answers = routed.where(F.col(instrument).isNotNull()).groupBy(instrument).agg(F.collect_set(inside).alias("keys"))  # no longer than the keyboard
+    counts = answers.agg(F.coalesce(F.min(F.size("keys")), F.lit(0)).cast("long").alias("answered"))
+    played = routed.agg(F.count_distinct(inside).alias("played"))
+    return counts.select(F.lit(high - low + 1).cast("long").alias("numbered"), played.scalar().alias("played"), "answered")

@@ -22,6 +22,11 @@ def screened(notes: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Da
     return notes.join(have, key, "left_semi"), lost
 
 
+def shortfalls(kept: DataFrame, length: str, required: str) -> DataFrame:
+    """Kept recordings that run shorter than their material asks for."""
+    return kept.where(F.col(length) < F.col(required))
+
+
 def merged_events(notes: DataFrame, keys: list[str], duration: str, weight: str, ratio: float) -> DataFrame:
     """Notes of one identity and duration bucket as one event: weights add up, the longest edge stands for all."""
     edge = S.bucket_edge(F.col(duration), ratio)

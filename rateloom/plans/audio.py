@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rateloom.functions import codec, kernels, loops, spectra
+from rateloom.functions import arrays as A
 from rateloom.functions import scalars as S
 from rateloom.operators import notes
 from rateloom.plans.relations import r6
@@ -117,7 +118,7 @@ HALF = [1.0 if k % 2 == 0 else -1.0 for k in range(64)]
 
 @query(f"SELECT vec_id, {r6('abs(list_sum(list_transform(list_zip(list_transform(embedding, lambda e: e::DOUBLE), ' + lst(HALF) + '), lambda p: p[1] * p[2])))', 5)} AS nyquist FROM embeddings")
 def nyquist_energy(spark, d):
-    return columns(vectors(spark, d).select("vec_id", "x"), lambda x: [np.abs(np.fft.rfft(x))[-1]], ["nyquist"])
+    return vectors(spark, d).select("vec_id", S.rounded(F.abs(A.dot(F.col("x"), A.constant(HALF))), 5).alias("nyquist"))
 
 
 @query()
