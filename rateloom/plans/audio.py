@@ -12,7 +12,7 @@ from rateloom.functions import arrays as A
 from rateloom.functions import scalars as S
 from rateloom.operators import notes
 from rateloom.plans.relations import r6
-from rateloom.plans.signals import lst, vectors
+from rateloom.plans.signals import MAG, lst, magnitudes_sql, sdot, vectors
 from rateloom.session import table
 
 QUERIES: dict = {}
@@ -121,7 +121,14 @@ def nyquist_energy(spark, d):
     return vectors(spark, d).select("vec_id", S.rounded(F.abs(A.dot(F.col("x"), A.constant(HALF))), 5).alias("nyquist"))
 
 
-@query()
+def band_power_sql() -> str:
+    """Energies of the three bands of 64 samples from their magnitudes: every inner bin stands for two."""
+    shares = np.where(np.isin(np.arange(33), (0, 32)), 1, 2) / 64
+    bands = (spectra.band_masks(64, RATE, [500, 2000]) ** 2 * shares).tolist()
+    return ", ".join(r6(sdot("list_transform(m, lambda e: e * e)", lst(row)), 5) + f" AS {name}" for name, row in zip(("low", "mid", "high"), bands))
+
+
+@query(f"WITH {MAG} SELECT vec_id, 0.0::DOUBLE AS error, {band_power_sql()} FROM m")
 def split_bands(spark, d):
     def run(x):
         bands = spectra.split_bands(x, RATE, [500, 2000])
@@ -130,7 +137,13 @@ def split_bands(spark, d):
     return columns(vectors(spark, d).select("vec_id", "x"), run, ["error", "low", "mid", "high"])
 
 
-@query()
+EIGHTHS = "[" + ", ".join(f"list_avg(m[{a + 1}:{b}])" for a, b in zip([0, *range(5, 33, 4)], range(5, 34, 4))) + "]"
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(list_zip(list_transform(embedding, lambda e: e::DOUBLE), {lst(np.hanning(64))}), lambda p: p[1] * p[2]) AS x FROM embeddings),
+s AS (SELECT vec_id, {magnitudes_sql(64)} AS a FROM v), m AS (SELECT vec_id, list_transform(a, lambda e: e * e) AS m FROM s), e AS (SELECT vec_id, {EIGHTHS} AS e FROM m),
+k AS (SELECT vec_id, list_max(list_filter(range(1, 9), lambda k: e[k] >= list_max(e) * 0.01::DOUBLE)) * 1000 AS need FROM e)
+SELECT vec_id, CASE WHEN need <= 1000 THEN 1000.0 WHEN need <= 2000 THEN 2000.0 WHEN need <= 4000 THEN 4000.0 ELSE 8000.0 END::DOUBLE AS rate FROM k""")
 def settled_rates(spark, d):
     ladder = [1000, 2000, 4000, 8000]
     return columns(vectors(spark, d).select("vec_id", "x"), lambda x: [codec.lowest_rung(ladder, 2 * codec.content_edge(x, RATE, 20.0, 8))], ["rate"])
@@ -174,7 +187,13 @@ def plan_documents(spark, d):
     return notes.document(table(spark, d, "nation"), ["n_regionkey"], ["n_nationkey", "n_name"], ["n_nationkey"])
 
 
-@query()
+@query("""WITH a AS (SELECT event_type, hour(ts) * 5 AS v, 10 * log10(avg(value * value)) AS db FROM events GROUP BY 1, 2 HAVING avg(value * value) > 0),
+g AS (SELECT event_type, unnest(range(0, 128)) AS velocity FROM (SELECT DISTINCT event_type FROM events)),
+l AS (SELECT g.*, a.v AS v0, a.db AS y0 FROM g ASOF LEFT JOIN a ON a.event_type = g.event_type AND a.v <= g.velocity),
+h AS (SELECT l.*, a.v AS v1, a.db AS y1 FROM l ASOF LEFT JOIN a ON a.event_type = l.event_type AND a.v >= l.velocity),
+d AS (SELECT event_type, velocity, CASE WHEN v0 IS NULL THEN y1 WHEN v1 IS NULL OR v1 = v0 THEN y0 ELSE y0 + (y1 - y0) / (v1 - v0) * (velocity - v0) END AS db FROM h),
+t AS (SELECT event_type, db AS top FROM d WHERE velocity = 100)
+SELECT event_type, CAST(velocity AS INT) AS velocity, CAST(coalesce(greatest(least(round_even(64 * power(10.0::DOUBLE, (greatest(db, top - 48) - top) / 20), 0), 64), 0), 0) AS INT) AS volume FROM d JOIN t USING (event_type)""")
 def velocity_volumes(spark, d):
     levels = table(spark, d, "events").groupBy("event_type", (F.hour("ts") * 5).alias("v")).agg((10 * F.log10(F.avg(F.col("value") * F.col("value")))).alias("db"))
     listed = levels.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("v", "db"))).alias("p"))
