@@ -83,3 +83,22 @@ def log_mel_distance(ref: Column, cand: Column, length: int, rate: float, bands:
 
 def relative_delta(ref: Column, cand: Column) -> Column:
     return F.abs(ref - cand) / (F.abs(ref) + A.EPS)
+
+
+def shape_readings(spectra: Column, length: int, rate: float, share: float) -> dict[str, Column]:
+    """Brightness, rolloff and flatness averaged over the frames, and how much the flux varies."""
+    freqs = [k * rate / length for k in range(length // 2 + 1)]
+    rolloff = F.transform(spectra, lambda s: A.rolloff_bin(s, share) * F.lit(rate / length) * (A.total(s) > 0).cast("double"))
+    return {
+        "centroid": A.mean(F.transform(spectra, lambda s: A.centroid(s, freqs))),
+        "rolloff": A.mean(rolloff),
+        "flatness": A.mean(F.transform(spectra, lambda s: A.flatness(F.transform(s, lambda m: m * m)))),
+        "flux": spread(flux_series(spectra)),
+    }
+
+
+def spectral_shape(ref: Column, cand: Column, length: int, rate: float, share: float, weights: dict[str, float]) -> Column:
+    """Weighted distance of two signals' readings, relative but for the flatness; ref and cand are frame magnitudes."""
+    a, b = (shape_readings(s, length, rate, share) for s in (ref, cand))
+    parts = [F.lit(float(w)) * (F.abs(a[k] - b[k]) if k == "flatness" else relative_delta(a[k], b[k])) for k, w in weights.items()]
+    return sum(parts[1:], parts[0])

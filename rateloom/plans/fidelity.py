@@ -104,6 +104,22 @@ def log_mel_pairs(spark, d):
     return both.select("vec_id", S.rounded(D.log_mel_distance(F.col("x"), F.col("y"), LENGTH, RATE, BANDS, DOWN_DB), 4).alias("distance"))
 
 
+WEIGHTS = {"centroid": 0.4, "rolloff": 0.2, "flatness": 0.3, "flux": 0.1}
+BINS = LENGTH // 2 + 1
+
+
+@query(f"""WITH {FRAMED}, r AS (SELECT vec_id, {sdot('s', lst(k * RATE / LENGTH for k in range(BINS)))} / list_sum(s) AS centroid,
+  list_min(list_filter(range(0, {BINS}), lambda k: list_sum(s[1:k + 1]) >= 0.85::DOUBLE * list_sum(s) - 1e-9::DOUBLE)) * {RATE / LENGTH}::DOUBLE AS rolloff,
+  exp(list_avg(list_transform(s, lambda e: ln(e * e + 1e-12::DOUBLE)))) / list_avg(list_transform(s, lambda e: e * e + 1e-12::DOUBLE)) AS flatness FROM s),
+c AS (SELECT a.vec_id, sqrt(list_sum(list_transform(list_zip(a.s, b.s), lambda p: (p[2] - p[1]) * (p[2] - p[1])))) AS c FROM s a JOIN s b ON b.vec_id = a.vec_id AND b.i = a.i + 1),
+m AS (SELECT * FROM (SELECT vec_id, avg(centroid) AS centroid, avg(rolloff) AS rolloff, avg(flatness) AS flatness FROM r GROUP BY 1) JOIN (SELECT vec_id, stddev_pop(c) AS flux FROM c GROUP BY 1) USING (vec_id))
+SELECT a.vec_id, {r6(' + '.join(f"{w}::DOUBLE * abs(a.{k} - b.{k})" + ("" if k == "flatness" else f" / (abs(a.{k}) + 1e-12::DOUBLE)") for k, w in WEIGHTS.items()), 4)} AS distance
+FROM m a JOIN m b ON b.vec_id = a.vec_id + 1""")
+def spectral_shape_pairs(spark, d):
+    both = pairs(spark, d).select("vec_id", *(D.frame_magnitudes(F.col(c), LENGTH, HOP).alias(c) for c in "xy"))
+    return both.select("vec_id", S.rounded(D.spectral_shape(F.col("x"), F.col("y"), LENGTH, RATE, 0.85, WEIGHTS), 4).alias("distance"))
+
+
 @query("""SELECT p_partkey, p_retailprice / 1024.0::DOUBLE AS kib, CAST(round_even(p_size * 1000 * 22050::DOUBLE / 44100, 0) AS BIGINT) AS frames,
   floor(power(10.0::DOUBLE, (-p_size / 20.0::DOUBLE)) * 1000000 + 0.5) / 1000000 AS peak FROM part""")
 def stored_sizes(spark, d):

@@ -56,3 +56,11 @@ def test_sizes_and_coverage(spark):
     assert tuple(material.key_coverage(routed.limit(0), "i", "k", 60, 63).first()) == (4, 0, 0)
     kept = spark.createDataFrame([(1, 2.0, 3.0), (2, 3.0, 3.0), (3, None, 3.0)], "id int, s double, need double")
     assert [r["id"] for r in notes.shortfalls(kept, "s", "need").collect()] == [1]
+
+
+def test_shape_of_silence_and_of_equal_signals(spark):
+    df = spark.createDataFrame([(0, [0.0] * N, [0.0] * N), (1, [1.0, -2.0] * (N // 2), [1.0, -2.0] * (N // 2)), (2, [0.0] * N, [1.0, -2.0] * (N // 2))],
+                               "id int, x array<double>, y array<double>")
+    x, y = (diagnostics.frame_magnitudes(F.col(c), 16, 8) for c in "xy")
+    got = {r[0]: r[1] for r in df.select("id", diagnostics.spectral_shape(x, y, 16, RATE, 0.85, {"centroid": 0.5, "rolloff": 0.25, "flatness": 0.25, "flux": 0.0})).collect()}
+    assert got[0] == got[1] == 0 and got[2] > 1  # relative to nothing
