@@ -120,3 +120,11 @@ def test_templates_are_named(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], ROWS)
     _, named = lt.templates(docs)
     assert [(r["template"], r["docs"]) for r in named.collect()] == [("Posted by user <*> on this site today", 12)]
+
+
+def test_large_level_tables_stay_off_the_driver(spark):
+    tokens = spark.range(40).selectExpr("id AS doc", "0 AS at", "id * 5000 AS spot")
+    levels = spark.range(200_000).selectExpr("id AS spot", "1 AS level")
+    met = lt.with_level(tokens, levels)
+    assert "broadcast" not in met._jdf.queryExecution().logical().toString().lower()
+    assert met.count() == 40
