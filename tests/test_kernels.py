@@ -170,3 +170,17 @@ def test_velocity_volumes_and_budget():
     assert notes.split_budget(1000, 100, 50, 2) == 800
     with pytest.raises(ValueError):
         notes.split_budget(100, 100, 50, 2)
+
+
+def test_piecewise_fit_of_many_readings_needs_no_square_of_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = np.arange(3000.0)
+    y = np.interp(x, [0, 700, 2000, 2999], [0.0, -30.0, -35.0, -80.0]) + rng.normal(0, 0.5, 3000)
+    tracemalloc.start()
+    knots, values = kernels.piecewise_fit(x, y, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6
+    assert len(knots) == 4 and np.abs(knots - [0, 700, 2000, 2999]).max() < 20
