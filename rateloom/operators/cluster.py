@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateloom.functions import arrays as A
 from rateloom.functions import kernels
 
+#: Rows that meet in a task, on either side, and spaces whose counts are broadcast.
+CHUNK = 8192
+BROADCAST_SPACES = 100_000
+
 
 def standardized(df: DataFrame, vector: str, size: int) -> DataFrame:
     """z-scores by the population deviation of each component; constant ones become 0. One aggregate row is broadcast."""
@@ -31,12 +36,77 @@ def mean_pairwise_square(df: DataFrame, vector: str, size: int) -> DataFrame:
     return df.agg(F.when(n > 1, 2 * n * total / (n - 1)).otherwise(0.0).alias("mean_square"))
 
 
+def unmeasured(vector: str) -> Column:
+    return F.col(vector).isNull() | F.exists(vector, F.isnull)
+
+
+def distance_parts(df: DataFrame, key: str, group: str, vector: str, weight: str | None = None, across: bool = False) -> DataFrame:
+    """(key, group, other, total, n): sums of (weighted) distances to the rows of group `other`, in parts to be summed.
+
+    Rows are dealt by their key into chunks, and each two chunks meet in a task, once for both directions. Groups are
+    apart, with all pairs; across: all rows meet, but for pairs of one key. Only vectors of one length have distances.
+    """
+    kind = df.schema[key].dataType.simpleString(), df.schema[group].dataType.simpleString()
+    rows = df.where(~unmeasured(vector)).select(
+        F.col(key).alias("key"), F.col(group).alias("group"), F.col(vector).alias("x"), F.size(vector).alias("size"),
+        (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"))
+    space = ["size"] if across else ["size", "group"]
+    counts = rows.groupBy(*space).agg(F.count("*").alias("rows"))
+    spaces, n = counts.agg(F.count("*"), F.sum("rows")).first()
+    chunk = min(CHUNK, max(256, (n or 0) // 16))
+    counts = counts.select(*(F.col(c).alias(f"of_{c}") for c in space), F.ceil(F.col("rows") / chunk).cast("int").alias("chunks"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in space]
+    dealt = rows.join(F.broadcast(counts) if spaces <= BROADCAST_SPACES else counts, same)
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", "group", "x", "w", "size", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), (F.col("chunk") <= F.col("with")).alias("first"))
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        column = {c: part[c].combine_chunks() for c in part.column_names}
+        x = column["x"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+        w = column["w"].to_numpy(zero_copy_only=False)
+        known = ~np.isnan(w)
+        w = np.where(known, w, 0.0)
+        code, ids = (column[c].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in ("group", "key"))
+        first = column["first"].to_numpy(zero_copy_only=False)
+        alone = column["low"][0].as_py() == column["high"][0].as_py()
+        sides = (np.arange(len(x)),) * 2 if alone else (np.flatnonzero(first), np.flatnonzero(~first))
+        left, right = (side[np.argsort(code[side], kind="stable")] for side in sides)
+        out: list[tuple[np.ndarray, ...]] = [(np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, np.int64))]
+        if len(left) and len(right):
+            heads = lambda c: np.flatnonzero(np.r_[True, np.diff(c) != 0])
+            starts, ends = heads(code[right]), heads(code[left])
+            back = np.zeros((len(ends), len(right)))
+            strip = max(1, (1 << 20) // len(right))
+            for at in range(0, len(left), strip):
+                mine = left[at : at + strip]
+                d = kernels.distances(x[mine], x[right])
+                n = np.tile(np.add.reduceat(known[right].astype(np.int64), starts), (len(mine), 1))
+                if alone and across:
+                    i, j = np.nonzero(ids[mine][:, None] == ids[right])
+                    d[i, j] = 0.0
+                    np.subtract.at(n, (i, np.searchsorted(starts, j, "right") - 1), known[right][j])
+                total = np.add.reduceat(d * w[right], starts, axis=1)
+                out.append((np.repeat(mine, len(starts)), np.tile(right[starts], len(mine)), total.ravel(), n.ravel()))
+                if not alone:
+                    at_heads = heads(code[mine])
+                    back[np.searchsorted(code[left][ends], code[mine][at_heads])] += np.add.reduceat(d * w[mine][:, None], at_heads, axis=0)
+            if not alone:
+                n = np.add.reduceat(known[left].astype(np.int64), ends)
+                out.append((np.repeat(right, len(ends)), np.tile(left[ends], len(right)), back.T.ravel(), np.tile(n, len(right))))
+        who, whose, total, n = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"key": column["key"].take(pa.array(who)), "group": column["group"].take(pa.array(who)), "other": column["group"].take(pa.array(whose)), "total": total, "n": n})
+
+    parts = dealt.groupBy(*space, "low", "high").applyInArrow(run, f"key {kind[0]}, group {kind[1]}, other {kind[1]}, total double, n long")
+    none = df.where(unmeasured(vector)).select(F.col(key).alias("key"), F.col(group).alias("group"), F.col(group).alias("other"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"))
+    return parts.union(none)
+
+
 def distance_sums(df: DataFrame, key: str, group: str, vector: str, weight: str | None = None) -> DataFrame:
-    """For each row the (weighted) sum of distances to its group's rows. The group's vectors are joined within the group."""
-    w = F.lit(1.0) if weight is None else F.col(f"b.{weight}")
-    pairs = df.alias("a").join(df.alias("b"), F.col(f"a.{group}") == F.col(f"b.{group}"))
-    return pairs.groupBy(F.col(f"a.{key}").alias(key), F.col(f"a.{group}").alias(group)).agg(
-        F.sum(A.distance(F.col(f"a.{vector}"), F.col(f"b.{vector}")) * w).alias("total"))
+    """For each row the (weighted) sum of distances to its group's rows; rows without a group have none."""
+    parts = distance_parts(df.where(F.col(group).isNotNull()), key, group, vector, weight)
+    return parts.groupBy(F.col("key").alias(key), F.col("group").alias(group)).agg(F.when(F.sum("n") > 0, F.sum("total")).alias("total"))
 
 
 def medoids(df: DataFrame, key: str, group: str, vector: str, weight: str | None = None) -> DataFrame:
