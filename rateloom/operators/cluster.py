@@ -111,9 +111,12 @@ def distance_sums(df: DataFrame, key: str, group: str, vector: str, weight: str
 
 def medoids(df: DataFrame, key: str, group: str, vector: str, weight: str | None = None) -> DataFrame:
     """Of each group the row with the least sum of distances; the lower key wins ties (sums are compared at 9 digits)."""
-    sums = distance_sums(df, key, group, vector, weight)
+    w = F.count("*") if weight is None else F.sum(weight)
+    copies = df.groupBy(group, vector).agg(F.min(key).alias(key), w.cast("double").alias("_w"))  # equal vectors, one sum
+    sums = distance_sums(copies, key, group, vector, "_w")
     tie = F.floor(F.col("total") * 1e9 + 0.5)
-    return sums.groupBy(group).agg(F.min(F.struct(tie.alias("t"), F.col(key).alias("k"))).alias("b")).select(group, F.col("b.k").alias("medoid"))
+    order = F.struct(tie.isNull().alias("none"), tie.alias("t"), F.col(key).alias("k"))
+    return sums.groupBy(group).agg(F.min(order).alias("b")).select(group, F.col("b.k").alias("medoid"))
 
 
 def silhouettes(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:
