@@ -44,6 +44,14 @@ def test_the_lowest_of_equal_medoids_wins(spark, vectors):
         assert got[g] == min((math.floor(v * 1e9 + 0.5), k) for k, v in sums.items())[1]
 
 
+def test_weights_move_the_medoid(spark, vectors):
+    rows, df = vectors
+    got = {r["g"]: r["medoid"] for r in cluster.medoids(df, "k", "g", "x", "w").collect()}
+    for g in (0, 1, 2):
+        sums = {k: sum(apart(x, y) * w for _, h, y, w in rows if h == g and apart(x, y) is not None) for k, h, x, _ in rows if h == g and x is not None}
+        assert got[g] == min((math.floor(v * 1e9 + 0.5), k) for k, v in sums.items())[1]
+
+
 def test_no_join_makes_the_pairs(spark, vectors):
     """Pairs of rows stay inside the tasks' matrices."""
     plans = [f(vectors[1], "k", "g", "x")._jdf.queryExecution().optimizedPlan().toString() for f in (cluster.distance_sums, cluster.medoids)]
