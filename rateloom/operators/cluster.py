@@ -121,13 +121,15 @@ def medoids(df: DataFrame, key: str, group: str, vector: str, weight: str | None
 
 def silhouettes(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:
     """Silhouette of each row: (nearest other group - own) / larger; rows alone in their group get 0."""
-    pairs = df.alias("a").join(F.broadcast(df.alias("b")) if df.count() <= 20_000 else df.alias("b"), F.col(f"a.{key}") != F.col(f"b.{key}"))
-    means = pairs.groupBy(F.col(f"a.{key}").alias(key), F.col(f"a.{group}").alias(group), F.col(f"b.{group}").alias("other")).agg(
-        F.avg(A.distance(F.col(f"a.{vector}"), F.col(f"b.{vector}"))).alias("d"))
-    wide = means.groupBy(key, group).agg(
-        F.min(F.when(F.col("other") == F.col(group), F.col("d"))).alias("own"), F.min(F.when(F.col("other") != F.col(group), F.col("d"))).alias("near"))
+    df = df.where(F.col(key).isNotNull())
+    if df.select(key).distinct().limit(2).count() < 2:
+        df = df.where(F.lit(False))  # no pair, no row
+    parts = distance_parts(df, key, group, vector, across=True)
+    means = parts.groupBy("key", "group", "other").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+    wide = means.groupBy("key", "group").agg(
+        F.min(F.when(F.col("other") == F.col("group"), F.col("d"))).alias("own"), F.min(F.when(F.col("other") != F.col("group"), F.col("d"))).alias("near"))
     value = (F.col("near") - F.col("own")) / F.nullif(F.greatest("near", "own"), F.lit(0.0))
-    return wide.select(key, group, F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+    return wide.select(F.col("key").alias(key), F.col("group").alias(group), F.coalesce(value, F.lit(0.0)).alias("silhouette"))
 
 
 def labelled(df: DataFrame, key: str, vector: str, k: int, method: str) -> DataFrame:

@@ -52,9 +52,24 @@ def test_weights_move_the_medoid(spark, vectors):
         assert got[g] == min((math.floor(v * 1e9 + 0.5), k) for k, v in sums.items())[1]
 
 
+def test_silhouettes_are_those_of_all_pairs(spark, vectors):
+    rows, df = vectors
+    got = {r["k"]: r["silhouette"] for r in cluster.silhouettes(df, "k", "g", "x").collect()}
+    assert got.keys() == {r[0] for r in rows}
+    for k, g, x, _ in rows:
+        by = {}
+        for j, h, y, _ in rows:
+            if j != k and apart(x, y) is not None:
+                by.setdefault(h, []).append(apart(x, y))
+        means = {h: sum(v) / len(v) for h, v in by.items()}
+        own, near = means.get(g) if g is not None else None, min((v for h, v in means.items() if h is not None and h != g), default=None) if g is not None else None
+        want = (near - own) / max(near, own) if own is not None and near is not None else 0.0
+        assert got[k] == pytest.approx(want, abs=1e-9), k
+
+
 def test_no_join_makes_the_pairs(spark, vectors):
     """Pairs of rows stay inside the tasks' matrices."""
-    plans = [f(vectors[1], "k", "g", "x")._jdf.queryExecution().optimizedPlan().toString() for f in (cluster.distance_sums, cluster.medoids)]
+    plans = [f(vectors[1], "k", "g", "x")._jdf.queryExecution().optimizedPlan().toString() for f in (cluster.distance_sums, cluster.medoids, cluster.silhouettes)]
     assert all("FlatMapGroupsInArrow" in p for p in plans)
 
 
