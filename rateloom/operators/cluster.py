@@ -166,13 +166,38 @@ def principal_components(df: DataFrame, key: str, vector: str, dims: int) -> Dat
 
 
 def scaled_layout(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """Classical scaling of a bounded set, in one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = np.array(pdf[vector].tolist(), float)
-        out = kernels.classical_scaling(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), dims)
-        return pd.DataFrame({key: pdf[key].to_numpy(), "place": out.tolist()})
+    """Classical scaling of the vectors' distances, without the distances.
 
+    The double-centred squares are the products of the centred vectors, whose leading eigenvectors times the roots of
+    their values are the scores on the components of the much smaller scatter matrix. That matrix is summed in parts;
+    signs make the largest entry of each dimension positive (to 9 digits, then the lowest key's). Null vectors have no place.
+    """
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, vector).groupBy(F.lit("space")).applyInPandas(run, f"{key} {kind}, place array<double>")
+    rows = df.select(key, F.when(~unmeasured(vector), F.col(vector)).alias("x"))
+    get = lambda i: F.get("x", F.lit(i))
+    size = rows.select(F.max(F.size("x"))).first()[0] or 0
+    if size < 1:
+        return rows.select(key, F.lit(None).cast("array<double>").alias("place"))
+    n, *mean = rows.agg(F.count("x"), *(F.avg(get(i)) for i in range(size))).first()
+    mean = np.array(mean, float)
+
+    def scatter(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) - mean
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["s"])
+
+    parts = rows.where("x is not null").select("x").mapInArrow(scatter, "s array<double>").select(F.posexplode("s").alias("at", "s"))
+    total = np.zeros(size * size)
+    for r in parts.groupBy("at").agg(F.sum("s").alias("s")).collect():
+        total[r["at"]] = r["s"]
+    top = np.linalg.eigh(total.reshape(size, size))[1][:, ::-1][:, : min(dims, n)]
+    top = np.pad(top, ((0, 0), (0, min(dims, n) - top.shape[1])))
+    centered = F.zip_with("x", A.constant(mean), lambda v, m: v - m)
+    placed = rows.select(key, F.when(F.col("x").isNotNull(), F.array(*(A.dot(centered, A.constant(v)) for v in top.T))).alias("place"))
+    entry = lambda k: F.get("place", F.lit(k))
+    first = [F.min(F.struct((-F.floor(F.abs(entry(k)) * 1e9 + 0.5)).alias("size"), F.col(key).alias("key"), (entry(k) < 0).alias("less"))) for k in range(top.shape[1])]
+    turned = placed.where("place is not null").agg(*(f.getField("less").alias(f"d{k}") for k, f in enumerate(first))).first()
+    sign = A.constant([-1.0 if less else 1.0 for less in turned])
+    return placed.select(F.col(key).cast(kind).alias(key), F.zip_with("place", sign, lambda v, t: v * t).alias("place"))

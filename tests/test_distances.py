@@ -80,3 +80,27 @@ def test_near_and_infinite_vectors_keep_their_distances():
     got = kernels.distances(x, x)
     assert got[0, 2] == 0 and got[0, 1] == pytest.approx(1e-7, rel=1e-6) and got[0, 4] == pytest.approx(math.dist(x[0], x[4]))
     assert np.isinf(got[3, 0]) and np.isnan(got[3, 3])
+
+
+def test_layout_is_the_classical_scaling_of_the_distances(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 5)) * [9, 5, 2, 1, 1] + 100
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(90, None)], "k long, x array<double>").repartition(4)
+    got = {r["k"]: r["place"] for r in cluster.scaled_layout(df, "k", "x", 2).collect()}
+    want = kernels.classical_scaling(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 2)
+    assert got.pop(90) is None and np.allclose([got[k] for k in range(90)], want, atol=1e-8)
+
+
+def test_layout_of_a_space_too_large_for_its_distances(spark):
+    """30,000 vectors have 7 GB of distances."""
+    df = spark.range(30_000).selectExpr("id AS k", "array(CAST(id AS DOUBLE), CAST(id % 7 AS DOUBLE), 3.0D) AS x")
+    best = cluster.scaled_layout(df, "k", "x", 2).selectExpr("max(place[0]) AS a", "min(place[0]) AS b").first()
+    assert best["a"] == pytest.approx(14999.5, abs=0.01) and best["b"] == pytest.approx(-14999.5, abs=0.01)
+
+
+def test_layout_of_few_rows_or_components(spark):
+    place = lambda rows, dims: [r["place"] for r in cluster.scaled_layout(spark.createDataFrame(rows, "k long, x array<double>"), "k", "x", dims).collect()]
+    assert place([], 2) == [] and place([(1, [4.0])], 2) == [[0.0]]
+    assert sorted(place([(1, [1.0]), (2, [5.0])], 2)) == [[-2.0, 0.0], [2.0, 0.0]]
