@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import DataFrame, Window
@@ -18,6 +19,20 @@ def questions(renditions: DataFrame, clip: str, axes: list[str], size: str, tole
     return pairs.select(F.col(f"a.{clip}").alias(clip), F.col("a.id").alias("a"), F.col("b.id").alias("b"), axis.alias("axis")).where("axis is not null")
 
 
+def near_sizes(renditions: DataFrame, clip: str, size: str, tolerance: float) -> DataFrame:
+    """(clip, size, other): the distinct sizes of a clip that match, equal ones included.
+
+    Positive sizes within the tolerance lie in the same or the next of buckets that grow by it; others match only themselves.
+    """
+    sizes = renditions.select(clip, size).where(F.col(clip).isNotNull() & F.col(size).isNotNull()).distinct()
+    bucket = F.when(F.col(size) > 0, F.floor(F.log(F.col(size).cast("double")) / (-math.log1p(-tolerance) * (1 + 1e-9))).cast("long"))
+    sizes = sizes.withColumn("_bucket", bucket)
+    others = sizes.where("_bucket is not null").select(F.col(clip).alias("_clip"), F.col(size).alias("other"), F.explode(F.array(*(F.col("_bucket") + k for k in (-1, 0, 1)))).alias("_near"))
+    large, small = F.greatest(size, "other"), F.least(size, "other")
+    near = sizes.join(others, (F.col(clip) == F.col("_clip")) & (F.col("_bucket") == F.col("_near"))).where((F.col(size) != F.col("other")) & (large - small <= large * tolerance))
+    return near.select(clip, size, "other").union(sizes.select(clip, size, F.col(size).alias("other")))
+
+
 def quota(pairs: DataFrame, axis: str, margin: str, each: int, order: list[str]) -> DataFrame:
     """Of each axis so many pairs, one from each equal share of its margins."""
     tiles = pairs.withColumn("share", F.ntile(each).over(Window.partitionBy(axis).orderBy(margin, *order)) - 1)
