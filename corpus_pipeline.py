@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are alike by four fifths."""
+    """One document of each group of texts whose fingerprints link them, or five-word shingles alike by four fifths."""
     return simhash.one_of_each(docs)
 
 

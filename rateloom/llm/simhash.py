@@ -350,15 +350,32 @@ def similar_edges(items: DataFrame, texts: DataFrame, *, leaf_size: int = LEAF_S
     return joined.groupBy("leaf").applyInPandas(link, "a long, b long")
 
 
-def similar(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leaf_size: int = LEAF_SIZE) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, node) of the documents, node a 64-bit hash of the text, and (node, component_id)."""
+def fingerprint_edges(items: DataFrame, *, bits: int = BITS, leaf_size: int = LEAF_SIZE) -> DataFrame:
+    """Edges (a, b) among items (node, fp) whose components are those of all fingerprints within the radius."""
+    heads = materialize(items.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    points = heads.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), F.array().cast("array<long>").alias("sketch"))
+    near = near_edges(points, bits=bits, leaf_size=leaf_size)
+    ends = [heads.select(F.col("fp").alias(side), F.col("head").alias(f"head_{side}")) for side in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return near.union(items.join(heads, "fp").where("node <> head").select("node", "head"))
+
+
+def similar(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leaf_size: int = LEAF_SIZE, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node) of the documents, node a 64-bit hash of the text, and (node, component_id).
+
+    bits: texts whose fingerprints differ in so many bits at most are linked too, as `near_duplicates` links them.
+    """
     base = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     rows = base.select("doc_id", text_node(F.col("text")).alias("node"), "text")
-    made = map_columns(rows, lambda ids, nodes, texts: (ids, nodes, [band_keys(t) for t in texts]), f"doc_id {kind}, node long, bands array<long>")
+    prints = (lambda texts: [None] * len(texts)) if bits is None else (lambda texts: [fingerprint(t) for t in texts])
+    made = map_columns(rows, lambda ids, nodes, texts: (ids, nodes, [band_keys(t) for t in texts], prints(texts)), struct(f"doc_id {kind}, node long, bands array<long>, fp long"))
     made = materialize(made, "band_keys")
-    items = materialize(made.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "items")
-    stars = materialize(contracted(similar_edges(items, rows.select("node", "text"), leaf_size=leaf_size)), "stars")
+    items = materialize(made.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "items")
+    edges = similar_edges(items, rows.select("node", "text"), leaf_size=leaf_size)
+    if bits is not None:
+        edges = edges.union(fingerprint_edges(items.select("node", "fp"), bits=bits, leaf_size=leaf_size))
+    stars = materialize(contracted(edges), "stars")
     return made.select("doc_id", "node"), rooted(items, stars)
 
 
@@ -367,8 +384,8 @@ def text_node(text: Column) -> Column:
 
 
 def one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest id (then text) stays."""
-    rows, found = similar(documents, doc_id=doc_id, text=text)
+    """The documents without near copies, by fingerprints or shingles: of each component the row with the smallest id (then text) stays."""
+    rows, found = similar(documents, doc_id=doc_id, text=text, bits=BITS)
     keep = rows.join(found, "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
     keep = materialize(keep.select("first.doc_id", "first.node"), "kept").alias("k")
     mine = lambda d: F.col(f"d.{d}").eqNullSafe(F.col("k.doc_id"))

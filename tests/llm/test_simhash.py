@@ -199,3 +199,14 @@ def test_a_large_leaf_is_split_by_a_tree_of_its_own(spark, monkeypatch):
     found = groups(simhash.local_stars(node, node, home, none, 3, 0))
     assert all(any({a, b} <= g for g in found) for a, b in links)
     assert all(any(g <= w for w in whole) for g in found)
+
+
+def test_one_of_each_drops_what_the_fingerprints_link(spark):
+    """A short passage many times over, with four words more: shingle sets are not alike, fingerprints are."""
+    own = "alpha beta gamma delta epsilon zeta eta theta iota kappa omega".split()
+    text = own * 40
+    texts = [text, [*text, "lambda", "mu", "nu", "xi"], "quite another text of its own words stands here".split()]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], ROWS)
+    prints = [simhash.fingerprint(" ".join(t)) for t in texts]
+    assert bin((prints[0] ^ prints[1]) & (2**64 - 1)).count("1") <= simhash.BITS and jaccard(texts[0], texts[1]) < 0.8
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, 2]
