@@ -47,6 +47,7 @@ POINTS = 16
 LOCAL_LEAF = 1024
 SEED = 42
 BROADCAST_NODES = 1_000_000
+BROADCAST_HEADS = 131_072
 BANDS, ROWS = 32, 5
 #: Two sets are alike if their Jaccard similarity is at least 4 / 5; compared in integers.
 SIMILAR = (4, 5)
@@ -352,12 +353,12 @@ def similar_edges(items: DataFrame, texts: DataFrame, *, leaf_size: int = LEAF_S
 
 def fingerprint_edges(items: DataFrame, *, bits: int = BITS, leaf_size: int = LEAF_SIZE) -> DataFrame:
     """Edges (a, b) among items (node, fp) whose components are those of all fingerprints within the radius."""
-    heads = materialize(items.groupBy("fp").agg(F.min("node").alias("head")), "heads")
-    points = heads.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), F.array().cast("array<long>").alias("sketch"))
-    near = near_edges(points, bits=bits, leaf_size=leaf_size)
-    ends = [heads.select(F.col("fp").alias(side), F.col("head").alias(f"head_{side}")) for side in ("a", "b")]
-    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    return near.union(items.join(heads, "fp").where("node <> head").select("node", "head"))
+    heads = materialize(items.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "heads")
+    points = heads.select(F.col("head").alias("node"), F.array("fp").alias("fps"), F.array().cast("array<long>").alias("sketch"))
+    repeated = heads.where("n > 1").select("fp", "head")
+    few = repeated.count() <= BROADCAST_HEADS  # else a fingerprint of many texts is one task of the join, unless Spark splits it
+    copies = items.join(F.broadcast(repeated) if few else repeated, "fp").where("node <> head").select("node", "head")
+    return near_edges(points, bits=bits, leaf_size=leaf_size).union(copies)
 
 
 def similar(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leaf_size: int = LEAF_SIZE, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
