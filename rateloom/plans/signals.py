@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rateloom.functions import arrays as A
 from rateloom.functions import scalars as S
-from rateloom.operators import agreement, cluster, listening
+from rateloom.operators import agreement, cluster, linkage, listening
 from rateloom.plans.relations import r6
 from rateloom.session import table
 
@@ -304,7 +304,7 @@ def representative_floor(spark, d):
 
 @query()
 def linkage_cut(spark, d):
-    return cluster.labelled(vectors(spark, d), "vec_id", "x", 10, "average")
+    return linkage.average_labels(vectors(spark, d), "vec_id", "x", 10)
 
 
 @query()
