@@ -24,7 +24,7 @@ FEW = 16
 #: Pairs of rows whose differences are taken at once, and pairs of two clusters from which a matrix product pays.
 PAIRS, PRODUCT = 1 << 15, 1 << 11
 #: Batches of rows that a task searches.
-BATCHES = 8
+BATCHES = 20
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 Search = Callable[[np.ndarray, np.ndarray, int], Found]
@@ -108,17 +108,17 @@ class Space:
             np.add.at(out, whose, of)
         return out
 
-    def means(self, mine: np.ndarray, kind: type) -> np.ndarray:
-        """Mean distances of clusters to all; infinite to themselves. The next call overwrites them."""
+    def means(self, mine: np.ndarray, kind: type, first: int = 0) -> np.ndarray:
+        """Mean distances of clusters to all from a first one; infinite to themselves. The next call overwrites them."""
         shape = len(mine), len(self.size)
         if self.room.size < shape[0] * shape[1]:
             self.room = np.empty(shape[0] * shape[1])
         out = self.room[: shape[0] * shape[1]].reshape(shape)
-        for others in blocks(self.size, np.arange(len(self.size)), COLUMNS):
+        for others in blocks(self.size[first:], np.arange(first, len(self.size)), COLUMNS):
             out[:, others[0] : others[-1] + 1] = self.sums(mine, others, kind)
-        if self.weight.max() > 1:
-            out /= self.weight[mine][:, None]
-            out /= self.weight
+        if self.weight[-1] > 1 or not self.plain:
+            out[:, first:] /= self.weight[mine][:, None]
+            out[:, first:] /= self.weight[first:]
         out[np.arange(len(mine)), mine] = np.inf
         return out
 
@@ -135,9 +135,9 @@ class Space:
         where the nearest one is not within it, by those of double precision.
         """
         n = len(self.size)
-        if n - 1 <= k:
-            for at, d in zip(mine, self.means(mine, np.float64), strict=True):
-                who = np.delete(np.arange(n), at)
+        if n - 1 <= k:  # all clusters are searched for, so links to later ones are enough
+            for at, d in zip(mine, self.means(mine, np.float64, mine[0]), strict=True):
+                who = np.arange(at + 1, n)
                 yield self.ids[at], np.inf, self.ids[who], d[who]
             return
 
@@ -209,13 +209,21 @@ class Merging:
         np.minimum.at(out, self.v, d)
         return out
 
-    def measure(self) -> None:
-        """Bounds below a cluster's least distance are replaced by distances, the least bound of each cluster first."""
+    def measure(self) -> np.ndarray:
+        """Each cluster's least distance, its reach at most. Bounds below it are replaced by distances, the least of each cluster first."""
         best = np.minimum(self.least(np.where(self.exact, self.d, np.inf)), self.reach)
-        least = np.minimum(best, self.least(self.d))
-        self.settle(np.flatnonzero(~self.exact & ((self.d <= least[self.u]) | (self.d <= least[self.v]))))
-        best = np.minimum(self.least(np.where(self.exact, self.d, np.inf)), self.reach)
-        self.settle(np.flatnonzero(~self.exact & ((self.d < best[self.u]) | (self.d < best[self.v]))))
+        below = lambda some, d: some[(self.d[some] < d[self.u[some]]) | (self.d[some] < d[self.v[some]])]
+        ask = below(np.flatnonzero(~self.exact), best)
+        low = np.full(len(best), np.inf)
+        for side in (self.u, self.v):
+            np.minimum.at(low, side[ask], self.d[ask])
+        first = (self.d[ask] <= low[self.u[ask]]) | (self.d[ask] <= low[self.v[ask]])
+        for some in (ask[first], ask[~first]):
+            some = below(some, best)
+            self.settle(some)
+            for side in (self.u, self.v):
+                np.minimum.at(best, side[some], self.d[some])
+        return best
 
     def settle(self, ask: np.ndarray) -> None:
         """Measures these links."""
@@ -247,16 +255,16 @@ class Merging:
 
     def step(self) -> int:
         """Merges all pairs that are certainly each other's nearest; how many."""
-        self.measure()
-        n = len(self.x)
-        some = np.flatnonzero(self.exact)
+        best, n = self.measure(), len(self.x)
+        some = np.flatnonzero(self.exact & ((self.d == best[self.u]) | (self.d == best[self.v])))
         mixed = (paired(self.u[some], self.v[some], n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
         order = some[np.lexsort((mixed, self.d[some]))]  # ties in no order of the rows, lest one pair at a time merge
+        u, v, at = self.u[order], self.v[order], np.arange(len(order))
         rank = np.full(n, len(order))
-        for side in (self.u, self.v):
-            np.minimum.at(rank, side[order], np.arange(len(order)))
-        held = order[(rank[self.u[order]] == np.arange(len(order))) & (rank[self.v[order]] == np.arange(len(order)))]
-        held = held[(self.d[held] <= self.reach[self.u[held]]) & (self.d[held] <= self.reach[self.v[held]])]
+        for side in (u, v):
+            own = self.d[order] == best[side]
+            np.minimum.at(rank, side[own], at[own])
+        held = order[(rank[u] == at) & (rank[v] == at)]
         if not len(held):
             return 0
         self.join(self.u[held].copy(), self.v[held].copy(), self.d[held].copy())
@@ -304,7 +312,8 @@ def tree(x: np.ndarray, w: np.ndarray, search: Search, dense: int, nearest: int)
     if len(ids) > 1:
         d = np.empty((len(ids), len(ids)))
         _, _, u, v, mean = search(m.label, ids, len(ids))
-        d[np.searchsorted(ids, u), np.searchsorted(ids, v)] = mean
+        u, v = np.searchsorted(ids, u), np.searchsorted(ids, v)
+        d[u, v] = d[v, u] = mean
         np.fill_diagonal(d, np.inf)
         height, i, j = kernels.linkage_merges(d, m.weight[ids])
         m.merges.append((height, ids[i], ids[j]))
