@@ -71,8 +71,8 @@ def recurring(rows: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint behind a count; a larger table is joined by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A broadcast hint behind a count; a larger table is joined by shuffle, whatever size the planner takes it for."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def templates(documents: DataFrame, *, text: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +107,8 @@ def with_level(tokens: DataFrame, levels: DataFrame) -> DataFrame:
     """The tokens that have a level, with it."""
     if levels.count() <= BROADCAST_ROWS:
         return tokens.join(F.broadcast(levels), "spot")
-    salted = levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    # the planner's size of this leaves out the SALT copies, so by size alone it would broadcast them
+    salted = levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge")
     return tokens.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(SALT)).cast("int")).join(salted, ["spot", "salt"]).drop("salt")
 
 

@@ -128,3 +128,17 @@ def test_large_level_tables_stay_off_the_driver(spark):
     met = lt.with_level(tokens, levels)
     assert "broadcast" not in met._jdf.queryExecution().logical().toString().lower()
     assert met.count() == 40
+
+
+def test_large_tables_are_not_broadcast_by_their_estimated_size(spark, tmp_path):
+    spark.range(lt.BROADCAST_ROWS + 1).selectExpr("id * 7 AS spot", "1 AS level").write.parquet(f"{tmp_path}/levels")
+    levels = spark.read.parquet(f"{tmp_path}/levels")
+    tokens = spark.range(40).selectExpr("id AS doc", "0 AS at", "id * 7 AS spot").repartition(2)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        for met in (lt.with_level(tokens, levels), tokens.join(lt.small(levels.select("spot")), "spot", "left_semi")):
+            rows = len(met.collect())
+            assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString() and rows == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
