@@ -370,14 +370,7 @@ FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE (
 def pair_questions(spark, d):
     """Which axis a pair of renditions differs on, or a trade where their sizes match within the tolerance."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    a, b = p.alias("a"), p.alias("b")
-    pair = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
-    out = lambda j, axis: j.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), axis.alias("axis"))
-    typed = a.join(b, pair & (F.col("a.p_type") == F.col("b.p_type")))
-    near = listening.near_sizes(p, "p_brand", "p_size", 0.05).alias("s")
-    sized = a.join(near, (F.col("a.p_brand") == F.col("s.p_brand")) & (F.col("a.p_size") == F.col("s.p_size")))
-    sized = sized.join(b, pair & (F.col("b.p_size") == F.col("s.other")) & ~F.coalesce(F.col("a.p_type") == F.col("b.p_type"), F.lit(False)))
-    return out(typed, F.lit("size")).union(out(sized, F.when(F.col("a.p_size") == F.col("b.p_size"), "type").otherwise("trade")))
+    return listening.paired(p, "p_partkey", "p_brand", "p_type", "p_size", 0.05).select("a", "b", "axis")
 
 
 @query("""SELECT p_brand, CAST(tile - 1 AS INT) AS share, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, tile ORDER BY p_size, p_partkey) AS rn FROM
